@@ -104,69 +104,71 @@ def with_runs(df: DataFrame, x: str, run_id="run_id", length="run_length",
             .drop("_chg"))
 
 
-def with_ewm(df: DataFrame, specs, key=KEY, order=ORDER) -> DataFrame:
+def with_ewm(df: DataFrame, specs, key=KEY, order=ORDER, mask=None) -> DataFrame:
     """Exponentially weighted means, ``adjust=False``, weights decaying over gaps.
 
     ``specs`` is a list of (output, input, alpha, min_count). The recursion
     y = g*y + (1-g)*x, g = w/(w+alpha), w = (1-alpha)^gap runs as a scaled
     running sum inside chunks of non-null values; the value entering a chunk is
     the last one of the chunk before. The total decay over one chunk is below
-    1e-60, so older chunks add nothing a double can hold. Three windows over
-    one hash partitioning, no recursion, no Python. Columns named ``_*`` are dropped.
+    1e-60, so older chunks add nothing a double can hold. A few windows over
+    one hash partitioning, no recursion, no Python. Columns named ``_*`` are
+    dropped.
+
+    ``mask`` names a column whose NULLs are those of every input; the weights
+    are then computed once per alpha instead of once per input.
     """
     keys = [key] if isinstance(key, str) else list(key)
     w, run = ordered(key, order), running(key, order)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumn("_rn", F.row_number().over(w))
-    inputs = {}
-    for _, x, _, _ in specs:
-        inputs.setdefault(x, f"_x{len(inputs)}")
+    source = {x: (mask or x) for _, x, _, _ in specs}
+    masks = {m: f"_x{i}" for i, m in enumerate(dict.fromkeys(source.values()))}
     cols = {}
-    for x, p in inputs.items():
-        cols[f"{p}_n"] = F.count(c(x)).over(run)
-        cols[f"{p}_prev"] = F.last(F.when(c(x).isNotNull(), F.col("_rn")), True).over(before)
+    for m, p in masks.items():
+        cols[f"{p}_n"] = F.count(c(m)).over(run)
+        cols[f"{p}_prev"] = F.last(F.when(c(m).isNotNull(), F.col("_rn")), True).over(before)
     df = df.withColumns(cols)
 
+    groups = {}                                   # (mask, alpha) -> shared weights
+    for _, x, a, _ in specs:
+        groups.setdefault((source[x], a), len(groups))
     cols = {}
-    for i, (_, x, a, _) in enumerate(specs):
-        p = inputs[x]
-        per = -math.log(1.0 - a)
-        chunk_rows = max(2, int(150.0 / per))
-        lnw = (F.col("_rn") - F.col(f"{p}_prev")) * F.lit(-per)
-        # ln g; a dense step gives w + alpha = 1 and ln g = ln w exactly
-        lng = F.when(F.col("_rn") - F.col(f"{p}_prev") == 1, F.lit(-per)).otherwise(
-            lnw - F.ln(F.exp(lnw) + F.lit(a)))
-        cols[f"_c{i}"] = F.floor((F.col(f"{p}_n") - 1) / F.lit(chunk_rows))
-        cols[f"_g{i}"] = F.when(c(x).isNotNull(), F.coalesce(lng, F.lit(0.0)))
+    for (m, a), j in groups.items():
+        p, per = masks[m], -math.log(1.0 - a)
+        gap = F.col("_rn") - F.col(f"{p}_prev")
+        lnw = gap * F.lit(-per)
+        # a dense step has w + alpha = 1, so ln g = ln w exactly
+        lng = F.when(gap == 1, F.lit(-per)).otherwise(lnw - F.ln(F.exp(lnw) + F.lit(a)))
+        cols[f"_blk{j}"] = F.floor((F.col(f"{p}_n") - 1) / F.lit(max(2, int(150.0 / per))))
+        cols[f"_lng{j}"] = F.when(c(m).isNotNull(), F.coalesce(lng, F.lit(0.0)))
     df = df.withColumns(cols)
 
-    cols = {}
-    for i, (_, x, a, _) in enumerate(specs):
-        cw = Window.partitionBy(*keys, f"_c{i}").orderBy(order).rowsBetween(
+    def inside(j):
+        return Window.partitionBy(*keys, f"_blk{j}").orderBy(order).rowsBetween(
             Window.unboundedPreceding, 0)
-        cols[f"_cum{i}"] = F.sum(f"_g{i}").over(cw)
-    df = df.withColumns(cols)
+
+    df = df.withColumns({f"_cum{j}": F.sum(f"_lng{j}").over(inside(j)) for j in groups.values()})
     cols = {}
     for i, (_, x, a, _) in enumerate(specs):
-        p = inputs[x]
-        cw = Window.partitionBy(*keys, f"_c{i}").orderBy(order).rowsBetween(
-            Window.unboundedPreceding, 0)
-        seed = F.col(f"{p}_n") == 1
-        coef = F.when(seed, F.lit(1.0)).otherwise(F.lit(1.0) - F.exp(F.col(f"_g{i}")))
-        term = F.when(c(x).isNotNull(), coef * c(x) * F.exp(-F.col(f"_cum{i}")))
-        cols[f"_L{i}"] = F.exp(F.col(f"_cum{i}")) * F.sum(term).over(cw)
+        j = groups[(source[x], a)]
+        seed = F.col(f"{masks[source[x]]}_n") == 1
+        coef = F.when(seed, F.lit(1.0)).otherwise(F.lit(1.0) - F.exp(F.col(f"_lng{j}")))
+        term = F.when(c(x).isNotNull(), coef * c(x) * F.exp(-F.col(f"_cum{j}")))
+        cols[f"_loc{i}"] = F.exp(F.col(f"_cum{j}")) * F.sum(term).over(inside(j))
     df = df.withColumns(cols)
     cols = {}
     for i, (_, x, a, _) in enumerate(specs):
-        # rows of the previous chunk end where the chunk id changes
-        cols[f"_in{i}"] = F.when(F.lead(f"_c{i}").over(w) != F.col(f"_c{i}"), F.col(f"_L{i}"))
+        j = groups[(source[x], a)]
+        last_of_block = F.lead(f"_blk{j}").over(w) != F.col(f"_blk{j}")
+        cols[f"_end{i}"] = F.when(last_of_block, F.col(f"_loc{i}"))
     df = df.withColumns(cols)
     cols = {}
     for i, (out, x, a, need) in enumerate(specs):
-        p = inputs[x]
-        carry = F.coalesce(F.last(f"_in{i}", True).over(before), F.lit(0.0))
-        cols[out] = F.when(F.col(f"{p}_n") >= need,
-                           F.col(f"_L{i}") + F.exp(F.col(f"_cum{i}")) * carry)
+        j = groups[(source[x], a)]
+        carry = F.coalesce(F.last(f"_end{i}", True).over(before), F.lit(0.0))
+        cols[out] = F.when(F.col(f"{masks[source[x]]}_n") >= need,
+                           F.col(f"_loc{i}") + F.exp(F.col(f"_cum{j}")) * carry)
     keep = [col for col in df.columns if not col.startswith("_")]
     return df.withColumns(cols).select(*keep, *[s[0] for s in specs])
 

@@ -68,7 +68,7 @@ def counter_trend(bars: DataFrame) -> DataFrame:
     df = df.withColumns(out)
     # the RSI needs two exponential means; they share the instrument partitioning
     ew = with_ewm(df.withColumnsRenamed({"_up": "up_", "_dn": "dn_"}),
-                  [("au", "up_", WILDER, 14), ("al", "dn_", WILDER, 14)])
+                  [("au", "up_", WILDER, 14), ("al", "dn_", WILDER, 14)], mask="up_")
     rsi = (F.when((F.col("al") == 0) & (F.col("au") > 0), F.lit(100.0))
            .otherwise(100.0 - 100.0 / (1.0 + F.col("au") / positive("al"))))
     names = [f"f1_{k}_{n}" for k in ("mr_score", "dist_ma_sigma", "ret_reversal", "hilo_pos")
@@ -146,7 +146,7 @@ def momentum(bars: DataFrame) -> DataFrame:
                        / positive(F.col("_hi") - F.col("_lo")) - 1.0)
     df = with_ewm(df, [("e12", "close", 2.0 / 13.0, 12), ("e26", "close", 2.0 / 27.0, 26),
                        ("atr", "tr_", WILDER, 14), ("pe", "pdm_", WILDER, 14),
-                       ("me", "mdm_", WILDER, 14)])
+                       ("me", "mdm_", WILDER, 14)], mask="close")
     atr = positive("atr")
     df = strict_chain(
         df, {"f6_macd_12_26": F.col("e12") - F.col("e26"),
