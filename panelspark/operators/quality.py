@@ -2,7 +2,8 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.calendars import ADHOC_CLOSURES, weekdays
+from ..functions.calendars import ADHOC_CLOSURES
+from ..functions.joins import with_scalars
 
 OHLC = ("open", "high", "low", "close")
 ROW_VALUES = OHLC + ("volume", "open_interest")
@@ -89,7 +90,7 @@ def presence(df: DataFrame) -> DataFrame:
     """
     span = df.agg(F.min("date").alias("a"), F.max("date").alias("b"))
     keys = df.groupBy("instrument").agg(F.min("date").alias("inception"))
-    grid = (keys.join(F.broadcast(span))       # one-row span
+    grid = (with_scalars(keys, span)
             .select("instrument", "inception", F.explode(F.sequence("a", "b")).alias("date"))
             .filter(F.weekday("date") < 5))
     have = df.select("instrument", "date").distinct().withColumn("_p", F.lit(True))

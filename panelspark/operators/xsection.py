@@ -8,6 +8,7 @@ sequence of positions per instrument, never by a cross join.
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions.joins import with_scalars
 from ..functions.numeric import nonzero_sd, positive
 from ..functions.windows import KEY, ORDER, lag, log_return, strict, trailing, with_ewm
 
@@ -68,7 +69,7 @@ def union_grid(rets: DataFrame) -> DataFrame:
     grid = date_grid(rets)
     per_date = rets.join(grid, ORDER)
     last = grid.agg(F.max("pos").alias("last"))
-    span = rets.select(KEY, "asset_class").distinct().join(F.broadcast(last))
+    span = with_scalars(rets.select(KEY, "asset_class").distinct(), last)
     full = span.select(KEY, "asset_class", F.explode(F.sequence(F.lit(1), "last")).alias("pos"))
     return (full.join(F.broadcast(grid), "pos")            # one row per calendar date
             .join(per_date.select(KEY, ORDER, "ret"), [KEY, ORDER], "left"))
