@@ -178,3 +178,20 @@ def strict_chain(df: DataFrame, *layers: dict) -> DataFrame:
     for layer in layers:
         df = df.withColumns(layer)
     return df
+
+
+def halo_blocks(df: DataFrame, lookback: int, block=512, key=KEY, order=ORDER) -> DataFrame:
+    """Split each key into position blocks, each preceded by its last ``lookback`` rows.
+
+    Costly window expressions then run on (key, blk) partitions of at most
+    block + lookback rows instead of one task per key. Keep rows with ``own``
+    after computing. Adds ``pos``, ``blk`` and ``own``.
+    """
+    size = max(block, lookback)
+    df = df.withColumn("pos", F.row_number().over(ordered(key, order)))
+    home = F.floor((F.col("pos") - 1) / F.lit(size))
+    near_end = F.col("pos") - 1 >= (home + 1) * size - lookback
+    df = df.withColumn("_home", home)
+    df = df.withColumn("blk", F.explode(F.when(near_end, F.array("_home", F.col("_home") + 1))
+                                        .otherwise(F.array("_home"))))
+    return df.withColumn("own", F.col("blk") == F.col("_home")).drop("_home")

@@ -158,10 +158,12 @@ def generic_barriers(df: DataFrame, pt: float, sl: float, num_days=1, min_ret=0.
     df = df.withColumn("us", F.unix_micros(F.col(time).cast("timestamp")))
     w = Window.partitionBy(KEY).orderBy("us")
     inside = w.rangeBetween(0, day - 1)
-    after = w.rangeBetween(day, Window.unboundedFollowing)
+    # newest first, so "first bar at or after t + days" is a running scan
+    after = Window.partitionBy(KEY).orderBy(-F.col("us")).rangeBetween(
+        Window.unboundedPreceding, -day)
     df = df.withColumns({
         "p_in": F.collect_list(F.struct(F.col(time).alias("t"), F.col(price).alias("px"))).over(inside),
-        "v_t": F.first(time).over(after), "v_px": F.first(price).over(after)})
+        "v_t": F.last(time).over(after), "v_px": F.last(price).over(after)})
     ev = df.filter(F.col("side").isNotNull() & (F.col("trgt") > min_ret))
     v = F.struct(F.col("v_t").alias("t"), F.col("v_px").alias("px"))
     ev = ev.withColumn("p_all", F.when(F.col("v_t").isNotNull(), F.array_append("p_in", v))
