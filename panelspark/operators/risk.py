@@ -13,7 +13,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.numeric import positive, xlogx
 from ..functions.windows import KEY, ORDER, halo_blocks, lag, log_return, rsum, sma, trailing
 
 BLK = (KEY, "blk")
@@ -31,21 +30,45 @@ def chunk_sizes(n: int, k=5) -> list:
     return [int(s) for s in np.unique(np.geomspace(8, n // 2, num=k, dtype=int)) if s >= 8]
 
 
-def rescaled_range(arr, start: int, s: int):
-    """R/S of one chunk: range of cumulative deviations over the sample sd."""
-    seg = F.slice(arr, start, s)
-    mean = F.aggregate(seg, F.lit(0.0), lambda a, v: a + v) / float(s)
-    ss = F.aggregate(seg, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean))
-    zero = F.struct(F.lit(0.0).alias("c"), F.lit(-1e300).alias("hi"), F.lit(1e300).alias("lo"))
+def rescaled_range(x: np.ndarray, sizes) -> np.ndarray:
+    """Slope of ln(mean R/S) on ln(size) for each row of a batch of windows."""
+    n = x.shape[1]
+    ys = []
+    for s in sizes:
+        seg = x[:, : n // s * s].reshape(len(x), n // s, s)
+        z = np.cumsum(seg - seg.mean(axis=2, keepdims=True), axis=2)
+        sd = seg.std(axis=2, ddof=1)
+        rs = np.where(sd > 1e-12, (z.max(axis=2) - z.min(axis=2)) / np.where(sd > 1e-12, sd, 1), np.nan)
+        k = (~np.isnan(rs)).sum(axis=1)
+        ys.append(np.log(np.where(k > 0, np.nansum(rs, axis=1) / np.maximum(k, 1), np.nan)))
+    y, lx = np.column_stack(ys), np.log(np.array(sizes, float))
+    ok = ~np.isnan(y)
+    m = ok.sum(axis=1)
+    sx, sy = (ok * lx).sum(axis=1), np.nansum(y, axis=1)
+    sxy, sxx = np.nansum(y * lx, axis=1), (ok * lx * lx).sum(axis=1)
+    den = m * sxx - sx * sx
+    return np.where((m >= 2) & (den > 0), (m * sxy - sx * sy) / np.where(den > 0, den, 1), np.nan)
+
+
+def window_udf(fn, dtype="double"):
+    """Arrow-batched UDF over an array column; NULL arrays stay NULL.
+
+    Array expressions with nested lambdas would recompute window-wide terms for
+    every element, so these statistics use one numpy call per batch or row.
+    """
+    @F.pandas_udf(dtype)
+    def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for arrs in batches:
+            out = np.full(len(arrs), np.nan)
+            have = arrs.notna().to_numpy()
+            if have.any():
+                out[have] = fn(arrs[have].to_numpy())
+            yield pd.Series(out, index=arrs.index)
+    return apply
 
-    def step(a, v):
-        c = a["c"] + v - mean
-        return F.struct(c.alias("c"), F.greatest(a["hi"], c).alias("hi"),
-                        F.least(a["lo"], c).alias("lo"))
 
-    rng = F.aggregate(seg, zero, step, lambda a: a["hi"] - a["lo"])
-    sd = F.sqrt(ss / (s - 1.0))
-    return F.when(sd > 1e-12, rng / sd)
+def null_if_nan(x):
+    return F.nanvl(x, F.lit(None).cast("double"))
 
 
 def hurst(bars: DataFrame, n=100) -> DataFrame:
@@ -54,23 +77,8 @@ def hurst(bars: DataFrame, n=100) -> DataFrame:
     df = blocked_returns(bars, n)
     w = trailing(n, BLK, "pos")
     df = df.withColumn("arr", F.when(F.count("r").over(w) == n, F.collect_list("r").over(w)))
-    df = df.filter("own")
-    points = []
-    for s in sizes:
-        parts = F.filter(F.array(*[rescaled_range(F.col("arr"), k * s + 1, s) for k in range(n // s)]),
-                         lambda v: v.isNotNull())
-        m = F.aggregate(parts, F.lit(0.0), lambda a, v: a + v) / F.nullif(F.size(parts), F.lit(0))
-        points.append(F.struct(F.lit(math.log(s)).alias("x"), F.ln(positive(m)).alias("y")))
-    df = df.withColumn("pts", F.filter(F.array(*points), lambda p: p["y"].isNotNull()))
-    k = F.size("pts").cast("double")
-
-    def total(f):
-        return F.aggregate("pts", F.lit(0.0), lambda a, p: a + f(p))
-
-    sx, sy = total(lambda p: p["x"]), total(lambda p: p["y"])
-    sxy, sxx = total(lambda p: p["x"] * p["y"]), total(lambda p: p["x"] * p["x"])
-    slope = F.try_divide(k * sxy - sx * sy, k * sxx - sx * sx)
-    return df.select(KEY, ORDER, F.when(F.col("arr").isNotNull() & (k >= 2), slope).alias(f"f12_hurst_{n}"))
+    slope = window_udf(lambda arrs: rescaled_range(np.vstack(arrs), sizes))
+    return df.filter("own").select(KEY, ORDER, null_if_nan(slope("arr")).alias(f"f12_hurst_{n}"))
 
 
 # ---- wavelet energy ----------------------------------------------------------------
@@ -182,49 +190,43 @@ def path_shape(bars: DataFrame, n=20) -> DataFrame:
 
 # ---- information measures -----------------------------------------------------------
 
-def quantile_edges(vals, k: int):
-    """Distinct linear-interpolation quantiles at 0, 1/k, .., 1 of an array."""
-    s = F.array_sort(vals)
-    n1 = F.size(vals) - 1
-
-    def at(i):
-        lo = F.floor(n1 * i / k).cast("int")
-        frac = ((n1 * i) % k) / float(k)
-        a, b = F.get(s, lo), F.get(s, F.least(lo + 1, n1))
-        return a + frac * (b - a)
-
-    return F.array_distinct(F.array(*[at(i) for i in range(k + 1)]))
+def quantile_bins(v: np.ndarray, k: int) -> np.ndarray:
+    """Right-closed bins at the distinct linear-interpolation k-quantiles."""
+    s, last = np.sort(v), len(v) - 1
+    edges = []
+    for i in range(k + 1):
+        lo, frac = (last * i) // k, ((last * i) % k) / k
+        edges.append(s[lo] + frac * (s[min(lo + 1, last)] - s[lo]))
+    return np.maximum(np.searchsorted(np.unique(edges), v, side="left") - 1, 0)
 
 
-def bin_of(v, edges):
-    """Right-closed bin, lowest edge included."""
-    return F.greatest(F.size(F.filter(edges, lambda e: e < v)) - 1, F.lit(0))
+def entropy(*codes: np.ndarray) -> float:
+    """Entropy (nats) of the joint distribution of small integer codes."""
+    joint = codes[0]
+    for c in codes[1:]:
+        joint = joint * 8 + c
+    p = np.bincount(joint.astype(np.int64))
+    p = p[p > 0] / len(joint)
+    return float(-(p * np.log(p)).sum())
 
 
-def entropy_of(codes, n_codes: int):
-    total = F.size(codes).cast("double")
-    counts = F.transform(F.sequence(F.lit(0), F.lit(n_codes - 1)),
-                         lambda c: F.size(F.filter(codes, lambda x: x == c)) / total)
-    return -F.aggregate(counts, F.lit(0.0), lambda a, p: a + xlogx(p))
-
-
-def mutual_information(bars: DataFrame, x: str, y_ret=True, n=252, bins=5) -> DataFrame:
+def mutual_information(bars: DataFrame, x: str, n=252, bins=5) -> DataFrame:
     """H1: rolling MI (nats) between a column and the return, quantile-binned."""
     df = blocked_returns(bars, n, extra=(x,))
     w = trailing(n, BLK, "pos")
     both = F.col(x).isNotNull() & F.col("r").isNotNull()
-    df = df.withColumn("prs", F.collect_list(F.when(both, F.struct(
-        F.col(x).cast("double").alias("x"), F.col("r").alias("y")))).over(w))
-    full = (F.col("pos") >= n) & (F.size("prs") >= max(2 * bins, 10))
+    df = df.withColumn("prs", F.flatten(F.collect_list(
+        F.when(both, F.array(F.col(x).cast("double"), "r"))).over(w)))
+    full = (F.col("pos") >= n) & (F.size("prs") >= 2 * max(2 * bins, 10))
+
+    def one(flat):
+        v = flat.reshape(-1, 2)
+        a, b = quantile_bins(v[:, 0], bins), quantile_bins(v[:, 1], bins)
+        return entropy(a) + entropy(b) - entropy(a, b)
+
+    mi = window_udf(lambda arrs: [one(a) for a in arrs])
     df = df.filter("own").withColumn("prs", F.when(full, F.col("prs")))
-    df = df.withColumns({"ex": quantile_edges(F.col("prs.x"), bins),
-                         "ey": quantile_edges(F.col("prs.y"), bins)})
-    df = df.withColumns({"bx": F.transform("prs", lambda p: bin_of(p["x"], F.col("ex"))),
-                         "by": F.transform("prs", lambda p: bin_of(p["y"], F.col("ey")))})
-    df = df.withColumn("bxy", F.zip_with("bx", "by", lambda a, b: a * bins + b))
-    mi = entropy_of(F.col("bx"), bins) + entropy_of(F.col("by"), bins) - entropy_of(
-        F.col("bxy"), bins * bins)
-    return df.select(KEY, ORDER, F.when(F.col("prs").isNotNull(), mi).alias("mutual_information"))
+    return df.select(KEY, ORDER, null_if_nan(mi("prs")).alias("mutual_information"))
 
 
 def transfer_entropy(bars: DataFrame, n=126, bins=3, vol_window=20) -> DataFrame:
@@ -233,22 +235,21 @@ def transfer_entropy(bars: DataFrame, n=126, bins=3, vol_window=20) -> DataFrame
     vw = trailing(vol_window)
     df = df.withColumn("vol", F.when(F.count("r").over(vw) == vol_window, F.stddev_samp("r").over(vw)))
     ok = F.col("s").isNotNull() & F.col("r").isNotNull()
-    df = df.withColumn("acc", F.when(ok, (F.col("s") * F.col("r") > 0).cast("int")))
+    df = df.withColumn("acc", F.when(ok, (F.col("s") * F.col("r") > 0).cast("double")))
     df = df.withColumns({"ap": lag("acc"), "vp": lag("vol")})
     df = halo_blocks(df, n)
     w = trailing(n, BLK, "pos")
     valid = F.col("acc").isNotNull() & F.col("ap").isNotNull() & F.col("vp").isNotNull()
-    df = df.withColumn("tr", F.collect_list(F.when(valid, F.struct("acc", "ap", "vp"))).over(w))
-    full = (F.col("pos") > n) & (F.size("tr") >= max(2 * bins * 4, 20))
+    df = df.withColumn("tr", F.flatten(F.collect_list(
+        F.when(valid, F.array("acc", "ap", "vp"))).over(w)))
+    full = (F.col("pos") > n) & (F.size("tr") >= 3 * max(2 * bins * 4, 20))
+
+    def one(flat):
+        t = flat.reshape(-1, 3)
+        now, was = t[:, 0].astype(int), t[:, 1].astype(int)
+        v = quantile_bins(t[:, 2], bins)
+        return max(entropy(now, was) - entropy(was) - entropy(now, was, v) + entropy(was, v), 0.0)
+
+    te = window_udf(lambda arrs: [one(a) for a in arrs])
     df = df.filter("own").withColumn("tr", F.when(full, F.col("tr")))
-    df = df.withColumn("ev", quantile_edges(F.col("tr.vp"), bins))
-    df = df.withColumn("v", F.transform("tr", lambda t: bin_of(t["vp"], F.col("ev"))))
-    df = df.withColumns({
-        "c_a": F.col("tr.ap"),
-        "c_aa": F.transform("tr", lambda t: t["acc"] * 2 + t["ap"]),
-        "c_av": F.zip_with("tr", "v", lambda t, v: t["ap"] * bins + v),
-        "c_aav": F.zip_with("tr", "v", lambda t, v: (t["acc"] * 2 + t["ap"]) * bins + v)})
-    te = (entropy_of(F.col("c_aa"), 4) - entropy_of(F.col("c_a"), 2)
-          - entropy_of(F.col("c_aav"), 4 * bins) + entropy_of(F.col("c_av"), 2 * bins))
-    return df.select(KEY, ORDER, F.when(F.col("tr").isNotNull(), F.greatest(te, F.lit(0.0)))
-                     .alias("transfer_entropy"))
+    return df.select(KEY, ORDER, null_if_nan(te("tr")).alias("transfer_entropy"))

@@ -13,19 +13,15 @@ RR = f"rr AS (SELECT *, ln(close) - {lag('ln(close)')} AS ret FROM panel)"
 
 def hurst_sql(n=100):
     sizes = K.chunk_sizes(n)
-    rs, fits = [], []
-    for s in sizes:
-        parts = ", ".join(f"rs(arr[{k * s + 1}:{k * s + s}])" for k in range(n // s))
-        rs.append(f"list_avg([{parts}]) AS m{s}")
-    xs = "[" + ", ".join(f"{math.log(s)!r}" for s in sizes) + "]"
-    ys = "[" + ", ".join(f"ln(m{s})" for s in sizes) + "]"
-    return f"""WITH {PANEL}, {RR}, a AS (SELECT instrument, date, CASE WHEN count(ret) OVER {over(n)} = {n}
-  THEN list(ret) OVER {over(n)} END AS arr FROM rr),
-seg AS (SELECT instrument, date, s, k, arr[k*s+1 : k*s+s] AS g FROM a, (VALUES {', '.join(f'({s})' for s in sizes)}) v(s),
-  generate_series(0, 12) t(k) WHERE arr IS NOT NULL AND (k + 1) * s <= {n}),
-dv AS (SELECT *, list_avg(g) AS mu, list_stddev_samp(g) AS sdv FROM seg),
-cm AS (SELECT instrument, date, s, sdv, list_transform(generate_series(1, s), lambda i: list_sum(g[1:i]) - i * mu) AS z FROM dv),
-rsv AS (SELECT instrument, date, s, avg((list_max(z) - list_min(z)) / sdv) AS m FROM cm WHERE sdv > 1e-12 GROUP BY 1, 2, 3),
+    w = over(n)
+    return f"""WITH {PANEL}, {RR}, cu AS (SELECT *, coalesce(sum(ret) OVER ({KEY}), 0) AS c FROM rr),
+a AS (SELECT instrument, date, CASE WHEN count(ret) OVER {w} = {n} THEN list(ret) OVER {w} END AS arr,
+  list(c) OVER ({KEY} ROWS BETWEEN {n} PRECEDING AND CURRENT ROW) AS cs FROM cu),
+seg AS (SELECT instrument, date, s, arr[k*s+1 : k*s+s] AS g, cs[k*s+1 : k*s+s+1] AS h FROM a,
+  (VALUES {', '.join(f'({s}, {k})' for s in sizes for k in range(n // s))}) v(s, k) WHERE arr IS NOT NULL),
+cm AS (SELECT instrument, date, s, list_stddev_samp(g) AS sdv, (h[s + 1] - h[1]) / s AS mu, h FROM seg),
+z AS (SELECT instrument, date, s, sdv, list_transform(generate_series(1, s), lambda i: h[i + 1] - h[1] - i * mu) AS z FROM cm),
+rsv AS (SELECT instrument, date, s, avg((list_max(z) - list_min(z)) / sdv) AS m FROM z WHERE sdv > 1e-12 GROUP BY 1, 2, 3),
 fit AS (SELECT instrument, date, regr_slope(ln(m), ln(s)) AS hh FROM rsv GROUP BY 1, 2 HAVING count(*) >= 2)
 SELECT a.instrument, a.date, {r('hh', 5, 'f12_hurst_100')} FROM a LEFT JOIN fit USING (instrument, date)"""
 
