@@ -4,6 +4,7 @@ import math
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.joins import asof
 from ..functions.numeric import ANNUAL, div, nonzero_sd, positive
 from ..functions.windows import (KEY, ORDER, expanding_z, lag, log_return, ordered,
                                  percentile_rank, rsd, rsum, sma, strict, strict_chain, trailing,
@@ -29,11 +30,12 @@ def rolling_stats(rets: DataFrame, n=20) -> DataFrame:
 
 def gap_suspicion(simple_rets: DataFrame, missing: DataFrame, n=20, limit=2.0) -> DataFrame:
     """Extreme trailing z-score on the last bar before a missing session."""
-    z = simple_rets.withColumns({"z": zscore("ret", n), "next_date": F.lead("date").over(ordered())})
-    gaps = missing.select("instrument", F.col("date").alias("gap"))
-    hit = (z.filter(F.abs("z") > limit).join(gaps, "instrument")
-           .filter((F.col("gap") > F.col("date")) & (F.col("gap") < F.col("next_date"))))
-    return hit.groupBy("instrument", "date", "z").agg(F.count("*").alias("n_missing"))
+    z = simple_rets.withColumn("z", zscore("ret", n))
+    # the bar before each gap, by an as-of join (no range condition)
+    prior = asof(missing.select(KEY, F.col("date").alias("gap")),
+                 z.select(KEY, ORDER), KEY, "gap", ORDER, ORDER, "bar", block="year")
+    gaps = prior.groupBy(KEY, F.col("bar").alias(ORDER)).agg(F.count("*").alias("n_missing"))
+    return z.filter(F.abs("z") > limit).join(gaps, [KEY, ORDER]).select(KEY, ORDER, "z", "n_missing")
 
 
 def counter_trend(bars: DataFrame) -> DataFrame:

@@ -100,7 +100,7 @@ def f16_drift_score(spark, sf):
 @query("roll_gap_suspicion", "E7", f"""WITH {PANEL}, {CAL}, {MISS}, sr AS (SELECT instrument, date, close / {lag('close')} - 1 AS ret FROM cleanp),
 zs AS (SELECT instrument, date, (ret - {sma('ret', 20)}) / {pos(sd('ret', 20))} AS z, lead(date) OVER ({KEY}) AS nd FROM sr WHERE ret IS NOT NULL)
 SELECT z.instrument, z.date, {r('z')}, count(*) AS n_missing FROM zs z JOIN miss m ON m.instrument = z.instrument AND m.date > z.date AND m.date < z.nd
-WHERE abs(z) > 2 GROUP BY z.instrument, z.date, z.z""")
+WHERE abs(z.z) > 2 GROUP BY z.instrument, z.date, z.z""")
 def roll_gap_suspicion(spark, sf):
     clean, cal, dim = base(spark, sf)
     miss = Q.missing_sessions(clean, dim, C.expected_sessions(clean, cal), cal)
