@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from . import stats
 from ..functions.windows import KEY, ORDER
+from ..sources.store import checkpointed
 
 SEED = 42
 
@@ -150,8 +151,9 @@ def distance_rows(corr: DataFrame, features) -> DataFrame:
 def feature_clusters(corr: DataFrame, features, ks=(2, 3, 4)) -> DataFrame:
     """M7: principal components of the distance rows, k-means with k chosen by
     silhouette, and soft membership from a Gaussian mixture."""
-    rows = VectorAssembler(inputCols=list(features), outputCol="raw").transform(
-        distance_rows(corr, features))
+    # one row per feature: cut the lineage so the many small fits do not rescan the panel
+    dist = checkpointed(distance_rows(corr, features).coalesce(1))
+    rows = VectorAssembler(inputCols=list(features), outputCol="raw").transform(dist)
     pcs = PCA(k=2, inputCol="raw", outputCol="features").fit(rows).transform(rows)
     pcs = pcs.select("feature", "features")
     ev = ClusteringEvaluator()
