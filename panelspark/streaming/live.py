@@ -57,7 +57,11 @@ def in_order(batches, time) -> pd.DataFrame:
 
 
 def cusum_stream(bars: DataFrame, h: float) -> DataFrame:
-    """Z3: the CUSUM filter on closed bars as keyed state (last close, both sums)."""
+    """Z3: the CUSUM filter on closed bars as keyed state (last close, both sums).
+
+    Bars of a key must arrive in time order over triggers; windows closed by a
+    watermark do.
+    """
     def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, pos, neg = state.get if state.exists else (None, 0.0, 0.0)
         pdf, side = in_order(batches, "bar_ts"), []
