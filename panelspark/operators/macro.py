@@ -74,16 +74,22 @@ def macro_features(applied: DataFrame, trade_dates: DataFrame) -> DataFrame:
     return df.join(F.broadcast(trade_dates.select("date").distinct()), "date", "left_semi")
 
 
-def spreads(applied: DataFrame, pairs) -> DataFrame:
-    """Spread series (name, minuend, subtrahend) as further applied levels."""
-    parts = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(a).alias("a"), F.lit(b).alias("b"))
-                      for n, a, b in pairs])
-    tagged = applied.withColumn("p", F.explode(F.filter(
-        parts, lambda p: (p["a"] == F.col("series")) | (p["b"] == F.col("series")))))
-    signed = F.when(F.col("series") == F.col("p.a"), F.col("level")).otherwise(-F.col("level"))
-    return (tagged.groupBy(F.col("p.name").alias("series"), "release_class", "date")
-            .agg(F.sum(signed).alias("level"), F.count("level").alias("_n"))
-            .withColumn("level", F.when(F.col("_n") == 2, F.col("level"))).drop("_n"))
+def with_spreads(applied: DataFrame, pairs) -> DataFrame:
+    """The applied levels plus spread series (name, minuend, subtrahend).
+
+    Each row is tagged with its own series and the spreads it takes part in, so
+    levels and spreads come from one pass and one aggregation. A spread needs
+    both legs.
+    """
+    legs = [(n, m, sign) for n, a, b in pairs for m, sign in ((a, 1.0), (b, -1.0))]
+    own = F.struct(F.col("series").alias("out"), F.lit(1.0).alias("sign"), F.lit(1).alias("need"))
+    tags = [own] + [F.when(F.col("series") == m, F.struct(
+        F.lit(n).alias("out"), F.lit(sign).alias("sign"), F.lit(2).alias("need"))) for n, m, sign in legs]
+    t = applied.withColumn("t", F.explode(F.filter(F.array(*tags), lambda x: x.isNotNull())))
+    g = t.groupBy(F.col("t.out").alias("series"), "release_class", "date").agg(
+        F.sum(F.col("t.sign") * F.col("level")).alias("level"), F.count("level").alias("_n"),
+        F.max("t.need").alias("_need"))
+    return g.withColumn("level", F.when(F.col("_n") == F.col("_need"), F.col("level"))).drop("_n", "_need")
 
 
 def macro_wide(long: DataFrame, names) -> DataFrame:

@@ -82,8 +82,7 @@ COLS = [f"f11_{M.slug(n)}_{c}" for n in ALL for c in ("level", "chg_short", "chg
 
 def features(spark, sf):
     ap, td = applied(spark, sf)
-    levels = ap.unionByName(M.spreads(ap, SPREADS))
-    return M.macro_features(levels, td)
+    return M.macro_features(M.with_spreads(ap, SPREADS), td)
 
 
 @query("f11_macro_features", "K11", f"""WITH {FEAT}

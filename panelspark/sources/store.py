@@ -52,7 +52,9 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         root = shared_dir(spark)
         if root is None:
             return build_panel(spark, sf_dir)
-        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        # never more buckets than cores: each bucket is one task of every window stage
+        buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                      max(1, spark.sparkContext.defaultParallelism))
         (build_panel(spark, sf_dir).repartition(buckets, "instrument").write
          .mode("overwrite").option("path", f"{root}/{name}").format("parquet")
          .bucketBy(buckets, "instrument").sortBy("instrument", "date").saveAsTable(name))

@@ -24,8 +24,7 @@ def mismatch(full, part):
 
 @pytest.fixture(scope="module")
 def frames(spark, sf):
-    p = panel(spark, sf).filter("instrument IN ('NATION_1','NATION_4','NATION_6','NATION_11','NATION_15')")
-    p = checkpointed(p)
+    p = checkpointed(panel(spark, sf))
     return engineered(p), engineered(checkpointed(p.filter(F.col("date") <= CUT)))
 
 
@@ -45,7 +44,7 @@ def test_label_vol(spark, sf):
 
 def test_filter_with_frozen_fit(spark, sf):
     """The fit is held fixed (train end before the cut); only the applied side is cut."""
-    p = panel(spark, sf).filter("instrument IN ('NATION_1','NATION_4')")
+    p = panel(spark, sf)
     end = F.lit("2000-01-01").cast("date")
     f = regimes.markov_regime(p, end, rounds=2)
     g = regimes.markov_regime(p.filter(F.col("date") <= CUT), end, rounds=2)
@@ -63,7 +62,7 @@ def test_macro_point_in_time(spark, sf):
 
 
 def test_regimes_are_probabilities(spark, sf):
-    p = panel(spark, sf).filter("instrument IN ('NATION_1','NATION_4')")
+    p = panel(spark, sf)
     st, _ = regimes.hmm_states(p, F.lit("2000-01-01").cast("date"), rounds=2)
     tot = F.col("f17_hmm_state_lo") + F.col("f17_hmm_state_mid") + F.col("f17_hmm_state_hi")
     assert st.count() > 100
