@@ -17,7 +17,7 @@ from ..operators import quality as Q
 LIGHT = ("f1_counter_trend", "f2_volatility", "f5_signal", "f6_momentum", "f7_microstructure",
          "f8_calendar", "f9_xsect_rank", "f9_pair_corr_mean", "f10_price_action",
          "f12_path_structure", "f15_path_shape")
-DIGITS = {"f2_atr_14": 2, "f6_macd_12_26": 2, "f6_macd_hist_12_26_9": 2, "f6_adx_14": 5,
+DIGITS = {"f2_atr_14": 4, "f6_macd_12_26": 2, "f6_macd_hist_12_26_9": 2, "f6_adx_14": 5,
           "f7_rolls_spread_20": 3, "f15_path_tortuosity_20": 4}
 
 

@@ -114,13 +114,13 @@ SELECT instrument, date, {rs('f2_vol_10 f2_vol_20 f2_vol_60 f2_ret_skew_60 f2_re
   {r('sqrt(mhl / (4 * ln(2)) * 252)', 6, 'f2_parkinson_20')},
   {r(f"sqrt({vr.format('mgk')} * 252)", 6, 'f2_garman_klass_20')},
   {r(f"sqrt({vr.format('mrs')}) * sqrt(252.0)", 6, 'f2_rogers_satchell_20')},
-  {r("atr", 2, "f2_atr_14")}
+  {r("atr", 4, "f2_atr_14")}
 FROM l JOIN ew USING (instrument, date)"""
 
 
 @query("f2_volatility", "F2a F2b F2c F2d F2e F2f F2g F2h", f2_sql(), causal=True)
 def f2_volatility(spark, sf):
-    return rounded(P.volatility(panel(spark, sf)), special={"f2_atr_14": 2})
+    return rounded(P.volatility(panel(spark, sf)), special={"f2_atr_14": 4})
 
 
 def f6_sql():
