@@ -127,5 +127,5 @@ def filtered(docs: DataFrame, labels: DataFrame, alpha=ALPHA, delta=DELTA) -> Da
     """The documents that are kept, with all their columns."""
     d = packed(docs).select("row", F.col("row.doc_id").alias("doc_id"), F.col("row.lang").alias("stratum"),
                             whole(F.col("row.text")).alias("t"))
-    cuts = cutoffs(cut(measures(d.drop("row"))), labels, alpha, delta)
-    return verdicts(measures(d), cuts).filter("kept").select("row.*")
+    m = cut(measures(d))        # with the rows: writing them costs less than measuring twice
+    return verdicts(m, cutoffs(m.drop("row"), labels, alpha, delta)).filter("kept").select("row.*")

@@ -3,7 +3,9 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.readers import table
-from . import dedup, quality, sql
+from . import bpe, dedup, mixing, ngram_join, pii, quality, sharding, sql, urls
+
+VOCABULARY = "word_bpe_49k.json"
 
 QUERIES = {}
 SQL = {}
@@ -25,6 +27,47 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "base_failed", "kept")
 
 
+@query("op1_ngram_join")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.linked(table(spark, sf_dir, "documents"))
+
+
+@query("op2_mixing", sql.MIXING)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(table(spark, sf_dir, "documents"))
+
+
+@query("op3_bpe")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.encoded(docs, vocabulary(), ids=False).drop("text")
+
+
+def vocabulary() -> str:
+    import public_tokenizers
+    return public_tokenizers.path(VOCABULARY)
+
+
+@query("op4_pii")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = pii.found(table(spark, sf_dir, "documents"))
+    return f.select("doc_id", *[f"n_{k}" for k in pii.PATTERNS], F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"),
+                    pii.joined(F.col("spans")).alias("spans"))
+
+
+@query("op5_sharding")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = sharding.assigned(table(spark, sf_dir, "documents"))
+    return a.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                    F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op7_url_filters")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.judged(pages, urls.labelled_names(spark)).select("page_id", "host", "path", "rule", "verdict")
+
+
 @query("op10_exact_dedup", sql.DEDUP)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.copy_groups(table(spark, sf_dir, "documents"))

@@ -61,3 +61,26 @@ j AS (SELECT *, NOT base_failed AND rid NOT IN (SELECT rid FROM bad) AS kept FRO
 
 QUALITY = f"""WITH {judged()}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM j"""
+
+
+MIXING = """
+WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
+                  md5('mix' || coalesce(':' || doc_id, '')) AS key FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size,
+             CAST([3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS weight
+      FROM d GROUP BY source),
+caps AS (SELECT s.*, 0 AS step, 1.5 * sum(source_size) OVER () * weight / sum(weight) OVER () AS share, false AS capped FROM s
+  UNION ALL
+  SELECT source, source_size, weight, step + 1,
+         CASE WHEN capped OR share >= 2.0 * source_size THEN 2.0 * source_size
+              ELSE (1.5 * sum(source_size) OVER () - sum(CASE WHEN capped OR share >= 2.0 * source_size THEN 2.0 * source_size ELSE 0 END) OVER ())
+                   * weight / sum(CASE WHEN capped OR share >= 2.0 * source_size THEN 0 ELSE weight END) OVER () END,
+         capped OR share >= 2.0 * source_size
+  FROM caps WHERE step < (SELECT count(*) FROM s)),
+t AS (SELECT source, source_size, share AS target FROM caps WHERE step = (SELECT count(*) FROM s)),
+p AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id NULLS LAST, size
+                           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM d)
+SELECT doc_id, size, source_size, target, CASE WHEN size = 0 THEN 0 ELSE
+       CAST(size * (round(target)::BIGINT // source_size)
+            + least(size, greatest(round(target)::BIGINT % source_size - pos, 0)) AS BIGINT) END AS taken
+FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source"""
