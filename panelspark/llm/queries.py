@@ -1,9 +1,12 @@
 """Queries of the operators, each over its whole table, and their DuckDB twins."""
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.readers import table
-from . import bpe, dedup, mixing, ngram_join, pii, quality, sharding, sql, urls
+from ..sources.store import shared_dir
+from . import bpe, dedup, licenses, mixing, ngram_join, pii, quality, sharding, sql, urls, warc
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -68,6 +71,18 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(pages, urls.labelled_names(spark)).select("page_id", "host", "path", "rule", "verdict")
 
 
+@query("op8_warc", sql.WARC)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write(table(spark, sf_dir, "pages"), path)
+    return warc.pages_of(warc.read(spark, path))
+
+
+@query("op9_license_scans")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(table(spark, sf_dir, "documents"))
+
+
 @query("op10_exact_dedup", sql.DEDUP)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.copy_groups(table(spark, sf_dir, "documents"))

@@ -84,3 +84,15 @@ SELECT doc_id, size, source_size, target, CASE WHEN size = 0 THEN 0 ELSE
        CAST(size * (round(target)::BIGINT // source_size)
             + least(size, greatest(round(target)::BIGINT % source_size - pos, 0)) AS BIGINT) END AS taken
 FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source"""
+
+# base 32 from hex: five hex digits are four base-32 digits
+WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+h AS (SELECT page_id, octet_length(encode(t)) AS b, sha1(t) AS x FROM p),
+d AS (SELECT page_id, b, x, array_to_string(list_transform(range(0, 32), lambda i:
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((CAST('0x' || substr(x, 1 + 5 * (i // 4), 5) AS BIGINT)
+               >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31) + 1 AS BIGINT), 1)), '') AS payload_digest FROM h),
+w AS (SELECT *, max(page_id) OVER (PARTITION BY x, b) AS m FROM d)
+SELECT page_id, CAST(b AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN page_id IS NOT DISTINCT FROM m THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS NOT DISTINCT FROM m THEN NULL ELSE m END AS refers_to FROM w"""
