@@ -4,7 +4,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 
 def with_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row global aggregate to every row."""
+    """Attach the columns of a one-row global aggregate to every row.
+
+    Spark folds the constant key away and runs a nested loop against that one row.
+    """
     one = F.broadcast(scalars.withColumn("_one", F.lit(1)))        # exactly one row
     return df.withColumn("_one", F.lit(1)).join(one, "_one").drop("_one")
 
@@ -17,7 +20,8 @@ def asof(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time
     partitions; a small table of block ends carries values across blocks. A key
     that holds most rows is spread over its blocks, and no side is broadcast or
     range-joined. ``strict`` excludes equal times. Adds ``out`` and ``out_time``.
-    ``right`` must be unique on (key, time).
+    ``right`` must be unique on (key, time). A probe without key or time keeps its row
+    and finds nothing.
     """
     back = direction == "backward"
     r = right.select(F.col(key), F.col(right_time).alias("_t"), F.lit(1).alias("_src"),
@@ -46,9 +50,11 @@ def asof(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time
                        .over(over).alias("_c"))
     scan = u.withColumns({"_lt": F.last("_vt", True).over(inner),
                           "_lv": F.last(F.when(F.col("_src") == 1, F.struct("_v")), True).over(inner)})
-    joined = scan.filter("_src = 0").join(ends, [key, "_blk"])
-    local = F.col("_lt").isNotNull()
+    ends = ends.select(F.col(key).alias("_key2"), F.col("_blk").alias("_blk2"), "_c")
+    joined = scan.filter("_src = 0").join(
+        ends, F.col(key).eqNullSafe(F.col("_key2")) & F.col("_blk").eqNullSafe(F.col("_blk2")))
+    local, known = F.col("_lt").isNotNull(), F.col(key).isNotNull() & F.col("_t").isNotNull()
     return joined.select(
         key, *lcols,
-        F.when(local, F.col("_lt")).otherwise(F.col("_c._et")).alias(f"{out}_time"),
-        F.when(local, F.col("_lv._v")).otherwise(F.col("_c._ev")).alias(out))
+        F.when(known, F.when(local, F.col("_lt")).otherwise(F.col("_c._et"))).alias(f"{out}_time"),
+        F.when(known, F.when(local, F.col("_lv._v")).otherwise(F.col("_c._ev"))).alias(out))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, functions as F
 
-# Relative floor under which a standard deviation counts as zero.
+# Absolute floor under which a standard deviation counts as zero.
 SD_FLOOR = 1e-12
 ANNUAL = 252.0
 
@@ -57,6 +57,15 @@ def no_nan(x) -> Column:
     return F.nanvl(c(x).cast("double"), F.lit(None).cast("double"))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, also where inner lambdas use it.
+
+    A column would not do: a filter pushed below its projection copies the expression to
+    every place that reads it.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def digest_draw(digest: Column, d, modulus) -> Column:
     """The d-th 6-hex-digit number of a SHA-256 digest, reduced by ``modulus``."""
     start = F.lit(1) + F.lit(6) * d

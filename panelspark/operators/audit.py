@@ -84,17 +84,47 @@ def signal_audit(frame: DataFrame, keys=(KEY,)) -> DataFrame:
         F.count("s").alias("n_signal_dates"), F.sum("bet").alias("n_bets"), *point_stats()))
 
 
-def block_bootstrap(frame: DataFrame, keys=(KEY,), n_boot=100, block=20, lags=LAGS,
+def moments(lags=LAGS) -> dict:
+    """Per-row terms whose sums give every point statistic: name -> column."""
+    s, out = F.col("s").cast("double"), {}
+    for k in lags:
+        y = F.col(f"r_lag_{k}".replace("-", "m"))
+        have, c = y.isNotNull(), corr_name(k)
+        for name, x in (("n", F.lit(1.0)), ("x", s), ("y", y), ("xx", s * s), ("yy", y * y), ("xy", s * y)):
+            out[f"{c}__{name}"] = F.when(have, x).otherwise(0.0)
+    ph = F.col("pnl_h").isNotNull()
+    for c, x, cond in (("mean_pnl_next_day", F.col("pnl_next_day"), F.col("pnl_next_day").isNotNull()),
+                       ("mean_pnl_h", F.col("pnl_h"), ph),
+                       ("hit_rate_h", F.col("hit_h").cast("double"), (F.col("bet") == 1) & ph)):
+        out[f"{c}__n"], out[f"{c}__x"] = F.when(cond, 1.0).otherwise(0.0), F.when(cond, x).otherwise(0.0)
+    return out
+
+
+def from_moments(lags=LAGS):
+    """The point statistics from sums of ``moments``."""
+    out = []
+    for k in lags:
+        n, x, y, xx, yy, xy = (F.col(f"{corr_name(k)}__{m}") for m in ("n", "x", "y", "xx", "yy", "xy"))
+        n1 = F.when(n >= 3, n)
+        vx, vy = xx - x * x / n1, yy - y * y / n1
+        ok = (vx / n1 > 1e-15) & (vy / n1 > 1e-15)
+        out.append(F.when(ok, (xy - x * y / n1) / F.sqrt(F.when(ok, vx * vy))).alias(corr_name(k)))
+    return out + [F.try_divide(F.col(f"{c}__x"), F.col(f"{c}__n")).alias(c) for c in STATS]
+
+
+def block_bootstrap(frame: DataFrame, keys=(KEY,), n_boot=1000, block=20, lags=LAGS,
                     seed=42, lo=0.025, hi=0.975) -> DataFrame:
     """Moving-block bootstrap intervals for all keys and replicates at once.
 
-    Every source row is sent to the replicates whose blocks contain it: starts
-    are hash draws per (key, replicate, block), blocks explode to positions, and
-    positions join the frame on (keys, position). The replicate statistics are
-    partially aggregated, so no replicate is ever collected in one place.
+    Every statistic is a ratio of sums, so a block is the difference of two running sums
+    of its key: a replicate reads two rows per block and not ``block`` rows. Starts are
+    hash draws per (keys, replicate, block); the picked sums are partially aggregated.
     """
     w = Window.partitionBy(*keys).orderBy(ORDER)
-    frame = frame.withColumn("_pos", F.row_number().over(w) - 1)
+    terms = moments(lags)
+    sums = frame.select(*keys, (F.row_number().over(w) - 1).alias("_pos"), *[
+        F.sum(x).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(c) for c, x in terms.items()])
+    # sums up to and including a position; the one before the first is zero and is left out
     sizes = frame.groupBy(*keys).agg(F.count("*").alias("_n")).filter("_n >= 2")
     boots = sizes.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
     size = F.least(F.lit(block), F.col("_n"))
@@ -103,14 +133,14 @@ def block_bootstrap(frame: DataFrame, keys=(KEY,), n_boot=100, block=20, lags=LA
     # ten draws per digest
     digest = F.sha2(F.concat_ws("|", *keys, F.lit(seed), F.col("_b"), F.floor(F.col("_j") / 10)), 256)
     start = digest_draw(digest, (F.col("_j") % 10).cast("int"), F.col("_n") - size + 1)
-    boots = boots.withColumns({"_start": start, "_size": size})
-    take = F.least(F.col("_size"), F.col("_n") - F.col("_j") * F.col("_size"))
-    picks = boots.select(*keys, "_b", F.explode(F.sequence(
-        F.col("_start"), F.col("_start") + take - 1)).alias("_pos"))
-    # one row per (key, replicate, position) with its multiplicity
-    picks = picks.groupBy(*keys, "_b", "_pos").agg(F.count("*").alias("_m"))
-    sample = picks.join(frame, [*keys, "_pos"])
-    reps = sample.groupBy(*keys, "_b").agg(*weighted_stats(lags))
+    take = F.least(size, F.col("_n") - F.col("_j") * size)
+    ends = F.array(F.struct((start + take - 1).alias("p"), F.lit(1.0).alias("sign")),
+                   F.struct((start - 1).alias("p"), F.lit(-1.0).alias("sign")))
+    picks = boots.select(*keys, "_b", F.explode(ends).alias("e")).select(
+        *keys, "_b", F.col("e.p").alias("_pos"), F.col("e.sign").alias("_sign")).filter("_pos >= 0")
+    reps = picks.join(sums, [*keys, "_pos"]).groupBy(*keys, "_b").agg(*[
+        F.sum(F.col("_sign") * F.col(c)).alias(c) for c in terms])
+    reps = reps.select(*keys, "_b", *from_moments(lags))
     names = [corr_name(k) for k in lags] + list(STATS)
     q = []
     for c in names:
@@ -118,30 +148,6 @@ def block_bootstrap(frame: DataFrame, keys=(KEY,), n_boot=100, block=20, lags=LA
     return reps.groupBy(*keys).agg(*q)
 
 
-def weighted_stats(lags=LAGS):
-    """The point statistics with row multiplicity ``_m``."""
-    m, out = F.col("_m"), []
-    s = F.col("s").cast("double")
-    for k in lags:
-        y = F.col(f"r_lag_{k}".replace("-", "m"))
-        w = F.when(y.isNotNull(), m)
-        n, sx, sy = F.sum(w), F.sum(w * s), F.sum(w * y)
-        vx = F.sum(w * s * s) - sx * sx / n
-        vy = F.sum(w * y * y) - sy * sy / n
-        cov = F.sum(w * s * y) - sx * sy / n
-        ok = (n >= 3) & (vx / n > 1e-15) & (vy / n > 1e-15)
-        out.append(F.when(ok, cov / F.sqrt(vx * vy)).alias(corr_name(k)))
-
-    def mean(x, cond):
-        return F.sum(F.when(cond, m * x)) / F.sum(F.when(cond, m))
-
-    nd, ph = F.col("pnl_next_day"), F.col("pnl_h")
-    out.append(mean(nd, nd.isNotNull()).alias("mean_pnl_next_day"))
-    out.append(mean(ph, ph.isNotNull()).alias("mean_pnl_h"))
-    out.append(mean(F.col("hit_h"), (F.col("bet") == 1) & ph.isNotNull()).alias("hit_rate_h"))
-    return out
-
-
 def split_halves(signals: DataFrame) -> DataFrame:
     """Tag dates before / from the median signal date (one row per date)."""
     days = signals.select(ORDER).distinct().agg(F.percentile(
@@ -153,7 +159,7 @@ def split_halves(signals: DataFrame) -> DataFrame:
                          .otherwise("second"))
 
 
-def stability(panel: DataFrame, n_boot=100) -> DataFrame:
+def stability(panel: DataFrame, n_boot=1000) -> DataFrame:
     """Statistics on the full window and both halves; flag = opposite signs
     with both intervals away from zero. The three copies run as one audit."""
     sig = split_halves(panel.select(KEY, ORDER, "s"))

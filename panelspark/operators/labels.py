@@ -5,7 +5,7 @@ import math
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.numeric import positive
+from ..functions.numeric import let, positive
 from ..functions.windows import KEY, ORDER, lag, ordered, running, with_ewm
 
 
@@ -195,48 +195,43 @@ def generic_barriers(df: DataFrame, pt: float, sl: float, num_days=1, min_ret=0.
 def trend_scan(bars: DataFrame, a=5, b=20, forward=True, price="close") -> DataFrame:
     """The horizon in [a, b) with the largest |slope t-value|, first on ties.
 
-    Window sums come from prefix sums of y, iy and y^2 (centred on the key's mean
-    to keep precision), so each row costs b-a struct evaluations.
+    Running sums over one window of b rows, centred on its own first price, give the fits
+    of all its horizons. An exact straight line has an unbounded t-value, which the final
+    clip turns into +-20; a flat line has none.
     """
     w = ordered()
-    run = running()
-    df = bars.withColumns({"i": F.row_number().over(w).cast("double"),
-                           "y": F.col(price) - F.avg(price).over(Window.partitionBy(KEY))})
-    df = df.withColumns({"P1": F.sum("y").over(run), "P2": F.sum(F.col("i") * F.col("y")).over(run),
-                         "P3": F.sum(F.col("y") * F.col("y")).over(run)})
-    ends = F.struct(ORDER, "P1", "P2", "P3")
-    n_all = F.count("*").over(Window.partitionBy(KEY))
-    if forward:
-        df = df.withColumn("arr", F.collect_list(ends).over(w.rowsBetween(0, b - 1)))
-        df = df.withColumn("ok", F.col("i") - 1 <= n_all - b)
-    else:
-        df = df.withColumn("arr", F.reverse(F.collect_list(ends).over(w.rowsBetween(-b, 0))))
-        df = df.withColumn("ok", F.col("i") - 1 >= b)
-    i, y = F.col("i"), F.col("y")
-
-    def fit(h):
-        e = F.col("arr")[h]
+    rows = w.rowsBetween(0, b - 1) if forward else w.rowsBetween(-b, 0)
+    seen = F.collect_list(F.struct(F.col(ORDER).alias("d"), F.col(price).cast("double").alias("y"))).over(rows)
+    pos, n_all = F.row_number().over(w) - 1, F.count("*").over(Window.partitionBy(KEY))
+    df = bars.withColumns({"arr": seen if forward else F.reverse(seen),
+                           "ok": pos <= n_all - b if forward else pos >= b}).filter("ok")
+    zero = F.struct(F.lit(0.0).alias("s1"), F.lit(0.0).alias("s2"), F.lit(0.0).alias("s3"), F.lit(0).alias("j"),
+                    F.array().cast("array<struct<s1:double,s2:double,s3:double>>").alias("out"))
+
+    def step(acc, e):
+        v = e["y"] - F.get("arr", F.lit(0))["y"]
+        s1, s2, s3 = acc["s1"] + v, acc["s2"] + acc["j"] * v, acc["s3"] + v * v
+        return F.struct(s1.alias("s1"), s2.alias("s2"), s3.alias("s3"), (acc["j"] + 1).alias("j"),
+                        F.array_append(acc["out"], F.struct(s1.alias("s1"), s2.alias("s2"), s3.alias("s3"))).alias("out"))
+
+    # at most b entries, so appending stays cheap
+    sums = F.aggregate(F.slice("arr", 1, b), zero, step, lambda acc: acc["out"])
+
+    def fit(e, h):
         m = (h + 1).cast("double")
-        if forward:                   # rows i .. i+h, prefix before row i excluded
-            s1 = e["P1"] - F.col("P1") + y
-            s2 = e["P2"] - F.col("P2") + i * y
-            s3 = e["P3"] - F.col("P3") + y * y
-            mid = i + h / 2.0
-        else:                         # rows i-h .. i, struct h+1 back is the prefix before
-            p = F.col("arr")[h + 1]
-            s1, s2, s3 = (F.col(c) - F.coalesce(p[c], F.lit(0.0)) for c in ("P1", "P2", "P3"))
-            mid = i - h / 2.0
         sxx = m * (m * m - 1.0) / 12.0
-        sxy = s2 - mid * s1
-        syy = s3 - s1 * s1 / m
-        beta = sxy / sxx
-        sse = syy - beta * sxy
-        t = beta / F.sqrt(F.when(sse > 0, sse) / (m - 2.0) / sxx)
-        return F.struct(F.abs(t).alias("at"), (-h).alias("nh"), t.alias("t"), e[ORDER].alias("t1"))
-
-    best = F.array_max(F.filter(F.transform(F.sequence(F.lit(a), F.lit(b - 1)), fit),
-                                lambda s: s["at"].isNotNull()))
-    df = df.filter("ok").withColumn("best", best)
+        sxy = (e["s2"] - h / 2.0 * e["s1"]) * (1.0 if forward else -1.0)
+        syy = e["s3"] - e["s1"] * e["s1"] / m
+        return let(F.struct(sxx.alias("sxx"), sxy.alias("sxy"), syy.alias("syy"), (syy - sxy * sxy / sxx).alias("sse")),
+                   lambda f: F.when(e["s3"] > 0, F.when(f["sse"] <= 1e-12 * f["syy"], F.signum(f["sxy"]) * F.lit(float("inf")))
+                                    .otherwise(f["sxy"] / f["sxx"] / F.sqrt(f["sse"] / (m - 2.0) / f["sxx"]))))
+
+    def scored(all_sums):
+        return F.transform(F.sequence(F.lit(a), F.lit(b - 1)), lambda h: let(fit(F.get(all_sums, h), h), lambda t: F.struct(
+            F.abs(t).alias("at"), (-h).alias("nh"), t.alias("t"), F.get("arr", h)["d"].alias("t1"))))
+
+    best = F.array_max(F.filter(let(sums, scored), lambda s: s["at"].isNotNull()))
+    df = df.withColumn("best", best)
     t = F.col("best.t")
     return df.filter(t.isNotNull()).select(
         KEY, ORDER, F.col("best.t1").alias("t1"),

@@ -85,30 +85,42 @@ def impurity_importance(model, features, spark, top=None) -> DataFrame:
     return df.limit(top) if top else df
 
 
-def permuted(rows: DataFrame, groups: dict, repeats: int, per_bucket=4096) -> DataFrame:
+def global_rank(x: DataFrame, by, salt: str, ident, out: str) -> DataFrame:
+    """Rank of every row among those of equal ``by``, in hash order, over all tasks.
+
+    The hash order is cut at its leading 12 bits; counts per cut (at most 4096 per
+    ``by``) give each cut's first rank, and a window ranks the rows inside a cut.
+    """
+    x = x.withColumn("_h", F.xxhash64(*ident, F.lit(salt)))
+    x = x.withColumn("_cut", F.shiftrightunsigned("_h", 52))
+    cuts = x.groupBy(*by, "_cut").agg(F.count("*").alias("_c"))
+    before = Window.partitionBy(*by).orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
+    cuts = cuts.withColumn("_first", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
+    inside = Window.partitionBy(*by, "_cut").orderBy("_h", *ident)
+    return (x.withColumn("_in", F.row_number().over(inside)).join(cuts, [*by, "_cut"])
+            .withColumn(out, F.col("_first") + F.col("_in")).drop("_h", "_cut", "_first", "_in"))
+
+
+def permuted(rows: DataFrame, groups: dict, repeats: int) -> DataFrame:
     """Rows times (group, repeat) with the group's columns taken from another row.
 
-    The permutation works inside hash buckets of about ``per_bucket`` rows: rank
-    by one hash receives the row of equal rank by a second hash. Columns of one
-    group share the donor row. No global sort, no single task.
+    One permutation of all rows per (group, repeat): the row of each rank by one hash
+    receives the columns of the row of equal rank by a second hash, whatever the number
+    of rows or tasks. Columns of one group share the donor row.
     """
     cols = sorted({c for g in groups.values() for c in g})
-    n = rows.count()
-    buckets = max(1, n // per_bucket)
     conf = F.array(*[F.struct(F.lit(g).alias("grp"), F.lit(r).alias("rep"))
                      for g in groups for r in range(repeats)])
     x = rows.withColumn("_c", F.explode(conf)).select("*", "_c.grp", "_c.rep").drop("_c")
-    ident = [KEY, ORDER, "rep"]
-    x = x.withColumn("_b", F.pmod(F.xxhash64(*ident, F.lit("bucket")), F.lit(buckets)))
-    part = Window.partitionBy("grp", "rep", "_b")
-    to = x.withColumn("_k", F.row_number().over(part.orderBy(F.xxhash64(*ident, F.lit("to")), *ident)))
-    give = x.select("grp", "rep", "_b", *[F.col(c).alias(f"d_{c}") for c in cols],
-                    F.row_number().over(part.orderBy(F.xxhash64(*ident, F.lit("from")), *ident)).alias("_k"))
-    y = to.join(give, ["grp", "rep", "_b", "_k"])
+    ident, by = [KEY, ORDER, "rep"], ["grp", "rep"]
+    to = global_rank(x, by, "to", ident, "_k")
+    give = global_rank(x.select(*ident, "grp", *cols), by, "from", ident, "_k").select(
+        *by, "_k", *[F.col(c).alias(f"d_{c}") for c in cols])
+    y = to.join(give, [*by, "_k"])
     for c in cols:
         owners = [g for g, cs in groups.items() if c in cs]
         y = y.withColumn(c, F.when(F.col("grp").isin(owners), F.col(f"d_{c}")).otherwise(F.col(c)))
-    return y.drop("_k", "_b", *[f"d_{c}" for c in cols])
+    return y.drop("_k", *[f"d_{c}" for c in cols])
 
 
 def permutation_importance(model, rows: DataFrame, groups: dict, repeats=10) -> DataFrame:

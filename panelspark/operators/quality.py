@@ -59,7 +59,7 @@ def missing_sessions(df: DataFrame, dim: DataFrame, sessions: DataFrame,
                      calendar: DataFrame) -> DataFrame:
     """Expected sessions inside an instrument's span with no bar."""
     span = df.groupBy("instrument").agg(F.min("date").alias("a"), F.max("date").alias("b"))
-    expected = (span.join(F.broadcast(dim.select("instrument", "calendar", "venue")), "instrument")
+    expected = (span.join(dim.select("instrument", "calendar", "venue"), "instrument")
                 .join(F.broadcast(sessions), "calendar")
                 .filter(F.col("date").between(F.col("a"), F.col("b"))))
     gaps = expected.join(df.select("instrument", "date"), ["instrument", "date"], "left_anti")
@@ -78,7 +78,7 @@ def missing_summary(df: DataFrame, dim: DataFrame, missing: DataFrame) -> DataFr
         F.count("*").alias("n_missing_total"),
         F.count_if(F.col("classification") == "early_close").alias("n_missing_early_close"),
         F.count_if(F.col("classification") == "unexplained").alias("n_missing_unexplained"))
-    out = (have.join(F.broadcast(dim.select("instrument", "venue", "calendar")), "instrument")
+    out = (have.join(dim.select("instrument", "venue", "calendar"), "instrument")
            .join(miss, "instrument", "left"))
     return out.fillna(0, [c for c in miss.columns if c != "instrument"])
 
@@ -102,7 +102,7 @@ def presence(df: DataFrame) -> DataFrame:
 def classify_missing(df: DataFrame, dim: DataFrame, calendar: DataFrame) -> DataFrame:
     """Per date the missing active members, their scope and the reason."""
     act = presence(df).filter(F.col("inception") <= F.col("date"))
-    act = act.join(F.broadcast(dim.select("instrument", "calendar", "venue")), "instrument")
+    act = act.join(dim.select("instrument", "calendar", "venue"), "instrument")
     kinds = calendar.groupBy("calendar", "date").agg(
         F.max(F.when(F.col("kind") == "holiday", F.col("label"))).alias("hol"),
         F.max(F.when(F.col("kind") == "early_close", F.col("label"))).alias("early"))

@@ -48,11 +48,11 @@ def n_eff(df: DataFrame) -> DataFrame:
 def embargoed_val(signals: DataFrame) -> DataFrame:
     """Validation rows left after dropping the embargo at both edges.
 
-    Positions are those of each instrument's own signal rows on the split axis.
+    Positions are places on the date axis that all instruments share.
     """
     split = F.broadcast(chronological_split(signals))         # one row per date
     emb = run_length_p90(signals)
-    df = signals.join(split, ORDER).join(F.broadcast(emb), KEY)
+    df = signals.join(split, ORDER).join(emb, KEY)
     return df.filter((F.col("pos") >= F.col("val_start") + F.col("embargo_p90"))
                      & (F.col("pos") < F.col("val_end") - F.col("embargo_p90")))
 

@@ -51,10 +51,11 @@ def rolling_pair_corr(rets: DataFrame, n=120) -> DataFrame:
 
 
 def pair_corr_mean(rets: DataFrame, n=120) -> DataFrame:
-    """Mean rolling correlation with the class peers."""
+    """Mean rolling correlation with the class peers; NULL on dates without one."""
     pc = rolling_pair_corr(rets, n)
     both = pc.select(F.explode(F.array("a", "b")).alias(KEY), ORDER, "pair_corr")
-    return both.groupBy(KEY, ORDER).agg(F.avg("pair_corr").alias("f9_pair_corr_mean"))
+    means = both.groupBy(KEY, ORDER).agg(F.avg("pair_corr").alias("f9_pair_corr_mean"))
+    return rets.select(KEY, ORDER).join(means, [KEY, ORDER], "left")
 
 
 def date_grid(rets: DataFrame) -> DataFrame:

@@ -74,42 +74,49 @@ def signal_audit(spark, sf):
     return rounded(A.signal_audit(frame(spark, sf)))
 
 
+N_BOOT = 1000
+
+
 def boot_sql(keys, n_boot):
     k = keys.split(", ")
     cat = " || '|' || ".join(k)
     on = " AND ".join(f"p.{x} = f.{x}" for x in k)
-    st = []
+    terms, st = {}, []
     for kk in LAGS:
-        y = lagcol(kk)
-        n, sx, sy = (f"sum(m) FILTER ({y} IS NOT NULL)", f"sum(m*s) FILTER ({y} IS NOT NULL)", f"sum(m*{y})")
-        vx = f"(sum(m*s*s) FILTER ({y} IS NOT NULL) - ({sx})*({sx})/({n}))"
-        vy = f"(sum(m*{y}*{y}) - ({sy})*({sy})/({n}))"
-        cov = f"(sum(m*s*{y}) - ({sx})*({sy})/({n}))"
-        st.append(f"CASE WHEN {n} >= 3 AND {vx}/({n}) > 1e-15 AND {vy}/({n}) > 1e-15 "
-                  f"THEN {cov}/sqrt({vx}*{vy}) END AS {A.corr_name(kk)}")
-    st += ["sum(m*pnl_next_day) / sum(m) FILTER (pnl_next_day IS NOT NULL) AS mean_pnl_next_day",
-           "sum(m*pnl_h) / sum(m) FILTER (pnl_h IS NOT NULL) AS mean_pnl_h",
-           "sum(m*hit_h) FILTER (bet = 1 AND pnl_h IS NOT NULL) / sum(m) FILTER (bet = 1 AND pnl_h IS NOT NULL) AS hit_rate_h"]
+        y, c = lagcol(kk), A.corr_name(kk)
+        for name, x in (("n", "1.0"), ("x", "s"), ("y", y), ("xx", "s*s"), ("yy", f"{y}*{y}"), ("xy", f"s*{y}")):
+            terms[f"{c}__{name}"] = f"CASE WHEN {y} IS NOT NULL THEN {x} ELSE 0.0 END"
+        n, vx, vy = f"{c}__n", f"({c}__xx - {c}__x*{c}__x/{c}__n)", f"({c}__yy - {c}__y*{c}__y/{c}__n)"
+        st.append(f"CASE WHEN {n} >= 3 AND {vx}/{n} > 1e-15 AND {vy}/{n} > 1e-15 "
+                  f"THEN ({c}__xy - {c}__x*{c}__y/{n})/sqrt({vx}*{vy}) END AS {c}")
+    for c, x, cond in (("mean_pnl_next_day", "pnl_next_day", "pnl_next_day IS NOT NULL"), ("mean_pnl_h", "pnl_h", "pnl_h IS NOT NULL"),
+                       ("hit_rate_h", "hit_h", "bet = 1 AND pnl_h IS NOT NULL")):
+        terms[f"{c}__n"], terms[f"{c}__x"] = (f"CASE WHEN {cond} THEN {v} ELSE 0.0 END" for v in ("1.0", x))
+        st.append(f"{c}__x / NULLIF({c}__n, 0) AS {c}")
     names = NAMES + list(A.STATS)
     q = ", ".join(f"quantile_cont({c}, 0.025) AS {c}_lo, quantile_cont({c}, 0.975) AS {c}_hi" for c in names)
-    return f"""fp AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY date) - 1 AS pos FROM frame),
+    up = f"(PARTITION BY {keys} ORDER BY date ROWS UNBOUNDED PRECEDING)"
+    return f"""fp AS MATERIALIZED (SELECT {keys}, row_number() OVER (PARTITION BY {keys} ORDER BY date) - 1 AS pos,
+  {', '.join(f'sum(CAST({x} AS DOUBLE)) OVER {up} AS {c}' for c, x in terms.items())} FROM frame),
 sz AS (SELECT {keys}, count(*) AS n, least(20, count(*)) AS sz FROM fp GROUP BY ALL HAVING count(*) >= 2),
 bk AS (SELECT sz.*, b, unnest(generate_series(0, (n - 1) // sz)) AS j FROM sz, generate_series(0, {n_boot - 1}) g(b)),
 dr AS (SELECT *, sha256({cat} || '|42|' || b || '|' || (j // 10)) AS h FROM bk),
 st AS (SELECT *, CAST('0x' || substr(h, CAST(1 + 6*(j % 10) AS BIGINT), 6) AS BIGINT) % (n - sz + 1) AS start FROM dr),
-pk AS (SELECT {keys}, b, unnest(generate_series(start, start + least(sz, n - j*sz) - 1)) AS pos FROM st),
-pm AS (SELECT {keys}, b, pos, count(*) AS m FROM pk GROUP BY ALL),
-rp AS (SELECT {', '.join('p.' + x for x in k)}, b, {', '.join(st)} FROM pm p JOIN fp f ON {on} AND p.pos = f.pos GROUP BY ALL),
+pk AS (SELECT {keys}, b, start + least(sz, n - j*sz) - 1 AS pos, 1.0 AS sign FROM st
+  UNION ALL SELECT {keys}, b, start - 1, -1.0 FROM st WHERE start > 0),
+sm AS (SELECT {', '.join('p.' + x for x in k)}, b, {', '.join(f'sum(sign * {c}) AS {c}' for c in terms)}
+  FROM pk p JOIN fp f ON {on} AND p.pos = f.pos GROUP BY ALL),
+rp AS (SELECT {keys}, b, {', '.join(st)} FROM sm),
 ci AS (SELECT {keys}, {q} FROM rp GROUP BY ALL)"""
 
 
 CI = [f"{c}_{e}" for c in NAMES + list(A.STATS) for e in ("lo", "hi")]
 
 
-@query("moving_block_ci", "D23", f"WITH {SIG}, {frame_sql('sig')}, {boot_sql('instrument', 50)} "
+@query("moving_block_ci", "D23", f"WITH {SIG}, {frame_sql('sig')}, {boot_sql('instrument', N_BOOT)} "
        f"SELECT instrument, {', '.join(r(c, 5) for c in CI)} FROM ci")
 def moving_block_ci(spark, sf):
-    return rounded(A.block_bootstrap(frame(spark, sf), n_boot=50), 5)
+    return rounded(A.block_bootstrap(frame(spark, sf), n_boot=N_BOOT), 5)
 
 
 HALF = """cut AS (SELECT DATE '1970-01-01' + CAST(floor(quantile_cont(date - DATE '1970-01-01', 0.5)) AS INTEGER) AS split_date
@@ -128,7 +135,7 @@ METRICS = ", ".join(f"('{m}')" for m in A.STABILITY)
 @query("audit_stability", "D22 U6", f"""WITH {SIG}, {HALF},
 parts AS (SELECT instrument, 'full' AS part, date, s FROM halves UNION ALL
   SELECT instrument, half, date, s FROM halves),
-{frame_sql('parts', 'instrument, part')}, {boot_sql('instrument, part', 40)},
+{frame_sql('parts', 'instrument, part')}, {boot_sql('instrument, part', N_BOOT)},
 pt AS (SELECT instrument, part, {stats_sql()} FROM frame GROUP BY 1, 2),
 lg AS (SELECT pt.instrument, pt.part, m.metric,
   CASE m.metric {' '.join(f"WHEN '{m}' THEN pt.{m}" for m in A.STABILITY)} END AS v,
@@ -143,7 +150,7 @@ SELECT instrument, metric, {r('full_window')}, {r('first_half')}, {r('second_hal
   coalesce((first_half > 0) <> (second_half > 0) AND (l1 > 0 OR h1 < 0) AND (l2 > 0 OR h2 < 0), false)
     AS sign_flip_flag FROM wd""")
 def audit_stability(spark, sf):
-    return rounded(A.stability(panel(spark, sf), 40))
+    return rounded(A.stability(panel(spark, sf), N_BOOT))
 
 
 RR = f"rr AS (SELECT *, ln(close) - {lag('ln(close)')} AS ret FROM panel)"

@@ -20,8 +20,8 @@ def panel_signals(spark, sf):
 
 
 @query("bars_time", "A12", f"""WITH {EVENTS}
-SELECT instrument, date_trunc('hour', ts) AS bar_ts, arg_min(px, ts) AS open, max(px) AS high,
-  min(px) AS low, arg_max(px, ts) AS close, round(sum(px), 4) AS volume, count(*) AS n_ticks
+SELECT instrument, date_trunc('hour', ts) AS bar_ts, arg_min(px, row(ts, event_id)) AS open, max(px) AS high,
+  min(px) AS low, arg_max(px, row(ts, event_id)) AS close, round(sum(px), 4) AS volume, count(*) AS n_ticks
 FROM ev GROUP BY 1, 2""")
 def bars_time(spark, sf):
     return B.time_bars(B.events(spark, sf)).withColumn("volume", rnd("volume", 4))
@@ -29,10 +29,10 @@ def bars_time(spark, sf):
 
 def activity_sql(amount, size):
     return f"""WITH {EVENTS}, t AS (SELECT *, CAST({amount} AS BIGINT) AS amt FROM ev),
-cum AS (SELECT *, sum(amt) OVER (PARTITION BY instrument ORDER BY ts) - amt AS before FROM t)
+cum AS (SELECT *, sum(amt) OVER (PARTITION BY instrument ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) - amt AS before FROM t)
 SELECT instrument, CAST(before // {size} AS BIGINT) AS bar_id, min(ts) AS ts_open,
-  max(ts) AS ts_close, arg_min(px, ts) AS open, max(px) AS high, min(px) AS low,
-  arg_max(px, ts) AS close, CAST(sum(amt) AS BIGINT) AS amount, count(*) AS n_ticks
+  max(ts) AS ts_close, arg_min(px, row(ts, event_id)) AS open, max(px) AS high, min(px) AS low,
+  arg_max(px, row(ts, event_id)) AS close, CAST(sum(amt) AS BIGINT) AS amount, count(*) AS n_ticks
 FROM cum GROUP BY 1, 2"""
 
 

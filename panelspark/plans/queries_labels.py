@@ -101,7 +101,7 @@ def scan_sql(forward):
 fit AS (SELECT a.instrument, a.date, h, {t1}(b.date) AS t1, corr(b.close, b.pos) AS rho
   FROM p a, generate_series(5, 19) g(h), p b
   WHERE b.instrument = a.instrument AND {rng} AND {ok} GROUP BY 1, 2, 3),
-tv AS (SELECT *, rho * sqrt(h - 1) / sqrt(CASE WHEN rho*rho < 1 THEN 1 - rho*rho END) AS t FROM fit),
+tv AS (SELECT *, CASE WHEN isnan(rho) THEN NULL WHEN 1 - rho*rho <= 1e-12 THEN sign(rho) * CAST('inf' AS DOUBLE) ELSE rho * sqrt(h - 1) / sqrt(1 - rho*rho) END AS t FROM fit),
 best AS (SELECT *, row_number() OVER (PARTITION BY instrument, date ORDER BY abs(t) DESC, h) AS k
   FROM tv WHERE t IS NOT NULL)
 SELECT instrument, date, t1, {r('greatest(least(t, 20.0), -20.0)', 5, 't_val')},
@@ -139,7 +139,7 @@ def hourly(spark, sf):
     return B.time_bars(B.events(spark, sf)).select("instrument", "bar_ts", "close")
 
 
-@query("cusum_events", "L5", f"""WITH RECURSIVE {HOURLY}, {CUS.replace('WHEN d < -60 THEN -1 WHEN d > 60', 'WHEN d < -60 THEN -1 WHEN d > 60')}
+@query("cusum_events", "L5", f"""WITH RECURSIVE {HOURLY}, {CUS}
 SELECT instrument, bar_ts, side FROM cu WHERE side <> 0""", causal=True)
 def cusum_events(spark, sf):
     return L.cusum_events(hourly(spark, sf), "close", 60.0)

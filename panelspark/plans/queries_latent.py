@@ -85,7 +85,7 @@ def drift_sql():
     return f"""WITH {PANEL}, {BLK}, ps AS (SELECT *, row_number() OVER ({KEY}) - 1 AS pos, ({full}) AS ok,
   count(*) FILTER (date <= DATE '{TRAIN_END}') OVER (PARTITION BY instrument) AS cut, count(*) OVER (PARTITION BY instrument) AS n FROM blk),
 tn AS (SELECT instrument, count(*) AS t_n, {mom('t')} FROM ps WHERE pos < cut AND ok GROUP BY 1 HAVING count(*) >= 20),
-rf AS (SELECT DISTINCT instrument, cut + 63 + 21 * g AS rp, g FROM (SELECT DISTINCT instrument, cut, n FROM ps), generate_series(0, 200) t(g) WHERE cut + 63 + 21 * g < n),
+rf AS (SELECT DISTINCT instrument, cut + 63 + 21 * g AS rp, g FROM (SELECT DISTINCT instrument, cut, n, unnest(generate_series(0, greatest(n - cut, 0) // 21)) AS g FROM ps) WHERE cut + 63 + 21 * g < n),
 rc AS (SELECT p.instrument, g, count(*) AS r_n, {mom('r')} FROM rf JOIN ps p ON p.instrument = rf.instrument AND p.pos >= rp - 63 AND p.pos < rp AND ok GROUP BY 1, 2 HAVING count(*) >= 20),
 sc AS (SELECT p.instrument, p.date, 1 / (1 + exp(-({logit}))) AS v FROM ps p JOIN tn USING (instrument)
   JOIN rc ON rc.instrument = p.instrument AND rc.g = (p.pos - p.cut - 63) // 21 WHERE p.pos >= p.cut + 63 AND ok)

@@ -114,14 +114,12 @@ def f11_macro_frozen_z(spark, sf):
     return rounded(M.frozen_zscore(wide, stats, ZC))
 
 
-@query("macro_broadcast_join", "C7", f"""WITH {FEAT}
-SELECT p.instrument, p.date, p.s, {r('o.level', 4, 'urgent_level')} FROM panel p
-LEFT JOIN onday o ON o.date = p.date AND o.series = '1-URGENT'""")
+@query("macro_broadcast_join", "C7", f"""WITH {FEAT}, {WIDE}
+SELECT p.instrument, p.date, p.s, {', '.join(r('o.' + c, 4, c) for c in COLS)} FROM panel p LEFT JOIN wide o ON o.date = p.date""")
 def macro_broadcast_join(spark, sf):
-    day = features(spark, sf).filter("series = '1-URGENT'").select(
-        "date", rnd("level", 4, "urgent_level"))
+    wide = rounded(M.macro_wide(features(spark, sf), ALL), 4)
     p = panel(spark, sf).select("instrument", "date", "s")
-    return p.join(F.broadcast(day), "date", "left")      # one row per calendar date
+    return p.join(F.broadcast(wide), "date", "left")      # one row per calendar date
 
 
 # ---- intraday as-of ----------------------------------------------------------

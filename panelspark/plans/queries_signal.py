@@ -125,9 +125,10 @@ def rolling_pair_corr(spark, sf):
 
 
 @query("f9_pair_corr_mean", "F9c", f"""WITH {PANEL}, {RETS}, {PAIRS}, {PC}
-SELECT instrument, date, {r('avg(pair_corr)', 6, 'f9_pair_corr_mean')} FROM (
-  SELECT a AS instrument, date, pair_corr FROM pc UNION ALL SELECT b, date, pair_corr FROM pc)
-GROUP BY 1, 2""", causal=True)
+SELECT r.instrument, r.date, {r('m', 6, 'f9_pair_corr_mean')} FROM rets r LEFT JOIN (
+  SELECT instrument, date, avg(pair_corr) AS m FROM (
+    SELECT a AS instrument, date, pair_corr FROM pc UNION ALL SELECT b, date, pair_corr FROM pc) GROUP BY 1, 2) p
+  ON p.instrument = r.instrument AND p.date = r.date""", causal=True)
 def f9_pair_corr_mean(spark, sf):
     return rounded(X.pair_corr_mean(X.class_returns(panel(spark, sf))))
 

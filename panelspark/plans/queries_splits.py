@@ -100,7 +100,12 @@ def year_split_capped(spark, sf):
 
 # ---- reshapes and plain joins ---------------------------------------------------
 
-NATIONS = [f"NATION_{i}" for i in range(25)]
+NATIONS = [f"NATION_{i}" for i in range(25)]      # columns of the twins, which need them in their text
+
+
+def columns_of(dim):
+    """The instruments of a dimension, sorted: one column each, so as many as a row can hold."""
+    return [x.instrument for x in dim.select("instrument").distinct().orderBy("instrument").collect()]
 
 
 @query("universe_subset", "B3", f"""WITH {PANEL} SELECT instrument, count(*) AS n, {r('avg(close)', 2, 'mean_close')}
@@ -116,7 +121,7 @@ WIDE = "wide AS (SELECT date, " + ", ".join(
 
 def wide_signals(spark, sf):
     p = panel(spark, sf)
-    return p.groupBy("date").pivot("instrument", NATIONS).agg(F.max("s"))
+    return p.groupBy("date").pivot("instrument", columns_of(B.instruments(spark, sf))).agg(F.max("s"))
 
 
 @query("signals_wide", "B7 U1", f"WITH {PANEL}, {WIDE} SELECT * FROM wide")
@@ -126,15 +131,17 @@ def signals_wide(spark, sf):
 
 @query("signals_long", "B6", f"WITH {PANEL}, {WIDE} SELECT date, instrument, s FROM wide UNPIVOT INCLUDE NULLS (s FOR instrument IN ({', '.join(NATIONS)}))")
 def signals_long(spark, sf):
-    return wide_signals(spark, sf).unpivot("date", NATIONS, "instrument", "s")
+    wide = wide_signals(spark, sf)
+    return wide.unpivot("date", [c for c in wide.columns if c != "date"], "instrument", "s")
 
 
 @query("returns_panel", "A4 B7", f"WITH {PANEL}, r0 AS (SELECT * FROM (SELECT instrument, date, ln(close) - {lag('ln(close)')} AS ret FROM panel) WHERE ret IS NOT NULL) SELECT date, "
        + ", ".join(r(f"max(ret) FILTER (instrument = '{n}')", 9, n) for n in NATIONS) + " FROM r0 GROUP BY 1", causal=True)
 def returns_panel(spark, sf):
     from ..operators.price import native_returns
-    rets = native_returns(panel(spark, sf))
-    return rounded(rets.groupBy("date").pivot("instrument", NATIONS).agg(F.max("ret")), 9)
+    p = panel(spark, sf)
+    rets = native_returns(p)
+    return rounded(rets.groupBy("date").pivot("instrument", columns_of(B.instruments(spark, sf))).agg(F.max("ret")), 9)
 
 
 @query("family_outer_join", "C2 U1", f"""WITH {PANEL}, b AS (SELECT instrument, date, close FROM panel WHERE isodow(date) < 6),

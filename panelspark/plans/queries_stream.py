@@ -90,14 +90,14 @@ def stream_run_state(spark, sf):
 
 @query("stream_asof_enrich", "Z4", f"""WITH {EVENTS}, lv AS (SELECT instrument, date_trunc('day', ts) + INTERVAL 1 DAY AS available, max(px) AS level
   FROM ev GROUP BY 1, 2)
-SELECT e.instrument, e.ts, e.px, l.available, l.level FROM ev e JOIN lv l ON l.instrument = e.instrument
-  AND e.ts >= l.available AND e.ts < l.available + INTERVAL 1 DAY""")
+SELECT e.instrument, e.ts, e.event_id, e.px, l.available, l.level FROM ev e
+ASOF LEFT JOIN lv l ON l.instrument = e.instrument AND e.ts >= l.available""")
 def stream_asof_enrich(spark, sf):
     from ..sources.bars import events
     day = F.date_trunc("day", "ts").cast("timestamp") + F.expr("INTERVAL 1 DAY")
     levels = (events(spark, sf).groupBy("instrument", day.alias("available"))
               .agg(F.max("px").alias("level")))
     folder = f"{shared_dir(spark)}/levels-{uuid.uuid4().hex}"
-    levels.write.parquet(folder)                       # the levels arrive as a stream of files
-    lv = spark.readStream.schema(levels.schema).parquet(folder)
-    return run(spark, Z.enrich_stream(Z.tick_stream(spark, sf), lv))
+    levels.write.parquet(folder)
+    return Z.enrich_to_table(Z.tick_stream(spark, sf), spark.read.parquet(folder),
+                             f"{shared_dir(spark)}/enriched-{uuid.uuid4().hex}")

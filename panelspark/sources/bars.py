@@ -51,36 +51,44 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "l_linestatus", "l_orderkey", "l_linenumber", "l_partkey"))
 
 
-def tick_order():
-    """Total order of ticks as one DECIMAL(38,0): order, line, part, price in cents.
+# Widths of the order key, checked for every tick: they sum to 38 digits.
+ORDER_DIGITS, LINE_DIGITS, PART_DIGITS, PRICE_DIGITS = 13, 2, 12, 11
 
-    A decimal lives in a fixed-width aggregation buffer, so first/last price stay
-    in a hash aggregate with map-side combining; a struct key would force a sort
-    of every tick.
-    """
-    d = "decimal(38,0)"
-    cents = F.round(F.col("px") * 100).cast("bigint")
-    tail = F.col("l_partkey") * F.lit(1_000_000_000) + cents      # below 1e18 for 1e9 parts
-    head = F.col("l_orderkey") * F.lit(10) + F.col("l_linenumber")
-    return (head.cast("decimal(18,0)") * F.lit(Decimal(10 ** 18))
-            + tail.cast("decimal(19,0)")).cast(d)
 
+def tick_order():
+    """Total order of ticks as one DECIMAL(38,0): order, line, part, then price.
 
-def price_of(order_key):
-    return (order_key % F.lit(Decimal(1_000_000_000))).cast("double") / 100.0
+    A decimal lives in a fixed-width aggregation buffer, so first and last price stay in
+    a hash aggregate with map-side combining; a struct key would force a sort of every
+    tick. The key only orders: prices are taken from the ticks themselves. Its last
+    digits (thousandths around zero, held at the ends of their range) settle ticks that
+    share order, line and part. A key part beyond its width stops the query.
+    """
+    def guarded(name, digits):
+        x = F.col(name).cast("decimal(38,0)")
+        return F.when(x.between(0, Decimal(10 ** digits - 1)), x).when(x.isNotNull(), F.raise_error(
+            F.concat(F.lit(f"{name} is outside 0..10^{digits}: "), x.cast("string"))).cast("decimal(38,0)"))
+
+    half = 5 * 10 ** (PRICE_DIGITS - 1)
+    price = F.least(F.greatest(F.floor(F.col("px") * 1000), F.lit(float(-half))), F.lit(float(half - 1)))
+    price = (price.cast("decimal(38,0)") + F.lit(Decimal(half))).cast("decimal(38,0)")
+    out = guarded("l_orderkey", ORDER_DIGITS)
+    for x, digits in ((guarded("l_linenumber", LINE_DIGITS), LINE_DIGITS),
+                      (guarded("l_partkey", PART_DIGITS), PART_DIGITS), (price, PRICE_DIGITS)):
+        out = (out * F.lit(Decimal(10 ** digits)) + x).cast("decimal(38,0)")
+    return out
 
 
 def daily_bars(tick: DataFrame) -> DataFrame:
     """OHLCV per (instrument, date): one shuffle of partial aggregates."""
     agg = (tick.withColumn("k", tick_order())
            .groupBy("instrument", "asset_class", "date")
-           .agg(F.min("k").alias("k0"), F.max("k").alias("k1"),
+           .agg(F.min_by("px", "k").alias("open"), F.max_by("px", "k").alias("close"),
                 F.max("px").alias("high"), F.min("px").alias("low"),
                 F.sum("qty").alias("volume"),
                 F.count_if(F.col("l_linestatus") == "O").alias("oi")))
     return agg.select(
-        "instrument", "asset_class", "date", price_of(F.col("k0")).alias("open"), "high", "low",
-        price_of(F.col("k1")).alias("close"), "volume",
+        "instrument", "asset_class", "date", "open", "high", "low", "close", "volume",
         F.when(F.col("oi") > 0, F.col("oi").cast("double")).alias("open_interest"))
 
 
@@ -139,11 +147,23 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("value").alias("px"))
 
 
+def event_order():
+    """(ts, event_id) as one DECIMAL(38,0), so that equal times keep their arrival order.
+
+    Microseconds stay below 10^19 and ids are guarded to 0..10^19, so the fields cannot
+    run into each other and the aggregate keeps fixed-width buffers.
+    """
+    d = "decimal(38,0)"
+    i = F.col("event_id").cast(d)
+    i = F.when(i >= 0, i).when(i.isNotNull(), F.raise_error(F.lit("event_id is negative")).cast(d))
+    return (F.unix_micros(F.col("ts").cast("timestamp")).cast(d) * F.lit(Decimal(10 ** 19)) + i).cast(d)
+
+
 def time_bars(ev: DataFrame, unit="hour") -> DataFrame:
-    """OHLC bars per key and time unit; ``ts`` is unique, so min_by is exact."""
-    return (ev.groupBy("instrument", F.date_trunc(unit, "ts").alias("bar_ts"))
-            .agg(F.min_by("px", "ts").alias("open"), F.max("px").alias("high"),
-                 F.min("px").alias("low"), F.max_by("px", "ts").alias("close"),
+    """OHLC bars per key and time unit; equal times are ordered by event id."""
+    return (ev.withColumn("_k", event_order()).groupBy("instrument", F.date_trunc(unit, "ts").alias("bar_ts"))
+            .agg(F.min_by("px", "_k").alias("open"), F.max("px").alias("high"),
+                 F.min("px").alias("low"), F.max_by("px", "_k").alias("close"),
                  F.sum("px").alias("volume"), F.count("*").alias("n_ticks")))
 
 
@@ -160,7 +180,7 @@ def running_total(ev: DataFrame, x: str, out: str, unit="hour") -> DataFrame:
         Window.unboundedPreceding, -1)
     offsets = totals.select("instrument", "_blk",
                             F.coalesce(F.sum("_t").over(w), F.lit(0)).alias("_off"))
-    inner = Window.partitionBy("instrument", "_blk").orderBy("ts").rowsBetween(
+    inner = Window.partitionBy("instrument", "_blk").orderBy("ts", "event_id").rowsBetween(
         Window.unboundedPreceding, 0)
     return (blocked.withColumn("_in", F.sum(x).over(inner))
             .join(offsets, ["instrument", "_blk"])
@@ -175,8 +195,8 @@ def activity_bars(ev: DataFrame, amount, size) -> DataFrame:
     """
     t = running_total(ev.withColumn("_amt", amount.cast("bigint")), "_amt", "_cum")
     t = t.withColumn("bar_id", F.floor((F.col("_cum") - F.col("_amt")) / F.lit(size)))
-    return (t.groupBy("instrument", "bar_id")
+    return (t.withColumn("_k", event_order()).groupBy("instrument", "bar_id")
             .agg(F.min("ts").alias("ts_open"), F.max("ts").alias("ts_close"),
-                 F.min_by("px", "ts").alias("open"), F.max("px").alias("high"),
-                 F.min("px").alias("low"), F.max_by("px", "ts").alias("close"),
+                 F.min_by("px", "_k").alias("open"), F.max("px").alias("high"),
+                 F.min("px").alias("low"), F.max_by("px", "_k").alias("close"),
                  F.sum("_amt").alias("amount"), F.count("*").alias("n_ticks")))

@@ -40,21 +40,33 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def state_of(spark: SparkSession, sf_dir: str) -> str:
+    """Names, sizes and times of the files that bars are built from.
+
+    They name the panel table, so changed files make a new one. One look at each folder
+    by Hadoop's file system; the files are not opened.
+    """
+    jvm, found = spark.sparkContext._jvm, []
+    for name in ("lineitem", "supplier", "nation", "region"):
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        found += [f"{x.getPath()}|{x.getLen()}|{x.getModificationTime()}" for x in fs.listStatus(path)]
+    return "\n".join(sorted(found))
+
+
 def build_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return add_signal(bars(spark, sf_dir))
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars with the signal column ``s``, read from the bucketed table."""
-    app = spark.sparkContext.applicationId
-    name = "panelspark_panel_" + hashlib.sha256(f"{app}|{sf_dir}".encode()).hexdigest()[:16]
+    name = "panelspark_panel_" + hashlib.sha256(
+        f"{spark.sparkContext.applicationId}|{state_of(spark, sf_dir)}".encode()).hexdigest()[:16]
     if not spark.catalog.tableExists(name):
         root = shared_dir(spark)
         if root is None:
             return build_panel(spark, sf_dir)
-        # never more buckets than cores: each bucket is one task of every window stage
-        buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")),
-                      max(1, spark.sparkContext.defaultParallelism))
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         (build_panel(spark, sf_dir).repartition(buckets, "instrument").write
          .mode("overwrite").option("path", f"{root}/{name}").format("parquet")
          .bucketBy(buckets, "instrument").sortBy("instrument", "date").saveAsTable(name))

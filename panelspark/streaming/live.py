@@ -10,6 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.joins import asof
+from ..sources.bars import event_order
+
 
 DELAY = "10 minutes"
 
@@ -26,8 +29,9 @@ def tick_stream(spark: SparkSession, folder: str, glob="events*.parquet", files_
 
 
 def ohlc():
-    return [F.min_by("px", "ts").alias("open"), F.max("px").alias("high"), F.min("px").alias("low"),
-            F.max_by("px", "ts").alias("close"), F.count("*").alias("n_ticks")]
+    first = event_order()
+    return [F.min_by("px", first).alias("open"), F.max("px").alias("high"), F.min("px").alias("low"),
+            F.max_by("px", first).alias("close"), F.count("*").alias("n_ticks")]
 
 
 def window_bars(stream: DataFrame, size="1 hour", slide=None, delay=DELAY) -> DataFrame:
@@ -99,17 +103,20 @@ def run_state_stream(signals: DataFrame) -> DataFrame:
         "prev int, n long", "append", GroupStateTimeout.NoTimeout)
 
 
-def enrich_stream(stream: DataFrame, levels: DataFrame, tolerance="1 day", delay=DELAY) -> DataFrame:
-    """Ticks joined to the levels available within ``tolerance`` before them.
+def enrich_to_table(stream: DataFrame, levels: DataFrame, root: str) -> DataFrame:
+    """Every tick once, with the latest level available at its time.
 
-    ``levels`` is a stream (instrument, available, level) with at most one row per
-    instrument and availability hour; the interval bound lets both states expire.
+    Each trigger joins its ticks as-of against the table of levels as it stands then, by
+    the batch operator, and writes a folder of its own, so a repeated trigger overwrites
+    what it wrote before. Levels must be written before the ticks that may see them.
     """
-    t = stream.withWatermark("ts", delay).alias("t")
-    v = levels.withWatermark("available", delay).alias("v")
-    cond = F.expr(f"t.instrument = v.instrument AND t.ts >= v.available "
-                  f"AND t.ts < v.available + interval {tolerance}")
-    return t.join(v, cond).select("t.instrument", "t.ts", "t.px", "v.available", "v.level")
+    def write(batch: DataFrame, number: int) -> None:
+        out = asof(batch, levels, "instrument", "ts", "available", "level", "level", block="day")
+        out.withColumnRenamed("level_time", "available").write.mode("overwrite").parquet(f"{root}/data/trigger={number}")
+
+    (stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{root}/state")
+     .trigger(availableNow=True).start().awaitTermination())
+    return levels.sparkSession.read.parquet(f"{root}/data").drop("trigger")
 
 
 def run_to_table(stream: DataFrame, root: str, mode="append") -> DataFrame:

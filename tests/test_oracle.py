@@ -1,21 +1,31 @@
-"""Queries against their DuckDB twins. PANEL_ALL=1 runs every twin."""
+"""Queries against their DuckDB twins. PANEL_ALL=1 runs every twin; PANEL_SF names the tables."""
 
+import ast
 import os
 
 import pytest
 
-import __spark_entry__ as entry
+from panelspark.plans import all_queries
 from tests.oracle import compare, connect
 
 SAMPLE = """bars_daily bars_volume clean_long anomalous_rows missing_sessions classify_missing_dates
 f1_counter_trend f2_volatility f5_signal f6_momentum f7_microstructure f9_xsect_rank f9_pair_corr_mean
 f12_path_structure f13_wavelet_energy asof_macro_panel asof_day_earlier triple_barrier_labels
 trend_scan_forward cusum_events signal_audit moving_block_ci embargoed_val purged_kfold
-spearman_distance ledoit_wolf auc_by_instrument f16_drift_score stream_tumbling_bars""".split()
-TWINS = entry.oracle_sql()
+spearman_distance ledoit_wolf auc_by_instrument f16_drift_score stream_tumbling_bars bars_time
+macro_broadcast_join asof_forward stream_asof_enrich events_fingerprint diagnostic_tables sink_matrix""".split()
+TWINS = {name: q.sql for name, q in all_queries().items() if q.sql}
 NAMES = list(TWINS) if os.environ.get("PANEL_ALL") else SAMPLE
 
 
+EMPTY = {"f7_oi_z_20", "f7_oi_price_div_20", "f7_oi_level", "f7_oi_change"}
+
+
+@pytest.fixture(scope="module")
+def sf():
+    return os.environ.get("PANEL_SF", "/root/testdata/sf0.001")
+
+
 @pytest.fixture(scope="module")
 def con(sf):
     return connect(sf)
@@ -23,20 +33,23 @@ def con(sf):
 
 @pytest.mark.parametrize("name", NAMES)
 def test_matches_twin(spark, sf, con, name):
-    msg = compare(entry.queries()[name](spark, sf), con, TWINS[name])
-    # the smallest tables leave some long-window columns empty
-    assert msg == "" or msg.startswith(("ALL-NULL", "no rows")), msg
+    msg = compare(all_queries()[name].build(spark, sf), con, TWINS[name])
+    # the smallest tables have 10 of 25 instruments and no open interest for 20 bars in a row
+    if sf.endswith("sf0.001") and msg.startswith("ALL-NULL"):
+        empty = set(ast.literal_eval(msg.split("columns ")[1]))
+        assert all(c.startswith("NATION_") or c in EMPTY for c in empty), msg
+    else:
+        assert msg == "", msg
 
 
 def test_every_inventory_id_is_covered():
-    from panelspark.plans import all_queries
     have = {i for q in all_queries().values() for i in q.ids.split()}
-    want = set("""A1 A2 A3 A4 A5 A6 A9 A10 A11 A12 B1 B2 B3 B4 B5 B6 B7 B8 B9 B10 B12 B13 B14 B15
+    want = set("""A1 A2 A3 A4 A5 A6 A7 A8 A9 A10 A11 A12 B1 B2 B3 B4 B5 B6 B7 B8 B9 B10 B12 B13 B14 B15
     C1 C2 C3 C4 C5 C6 C7 C8 C9 C10 C11 C12 C13 C14 E1 E2 E3 E4 E5 E6 E7 F8 F10 F13 H1 H2
     K1 K2 K3 K4 K5 K6 K7 K8 K9 K10 K11 K12 K13 K14 K15 L1 L4 L5 L6 L6b L7 L8 L10 L11 L12
     M1 M2 M3 M4 M5 M6 M7 M8 M9 Q1 Q2 Q3 Q4 W1 W2 W3 W4 W5 W6 W7 W8 Z1 Z2 Z3 Z4 Z5
     F1a F1b F1c F1d F1e F1f F2a F2b F2c F2d F2e F2f F2g F2h F5a F5b F5c F5d F5e F5f F5g F5h
     F6a F6b F6c F6d F6e F7a F7b F7c F7d F7e F7f F7g F7h F9a F9b F9c F9d F9e F9f
-    F12a F12b F12c F12d F12e F12f F15a F15b F15c T2 T3 T4 T5 T6 U1 U2 U3 U4 U5 U6""".split())
+    F12a F12b F12c F12d F12e F12f F15a F15b F15c T1 T2 T3 T4 T5 T6 U1 U2 U3 U4 U5 U6""".split())
     want |= {f"D{i}" for i in range(1, 42)} - {"D34"} | {"D34"}
     assert not want - have, sorted(want - have)
