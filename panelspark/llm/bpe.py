@@ -187,6 +187,9 @@ def encoded(docs: DataFrame, path: str, text_col: str = "text", ids: bool = True
     cols = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if ids else "")
     plain = packed(docs).select("row", F.coalesce(F.col(f"row.`{text_col}`"), F.lit("")).alias("t"))
 
+    kinds = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
+    kinds += [("ids", pa.list_(pa.int32()))] * ids
+
     def finish(data, decoded):
         out = {"n_tokens": len(data) // 4, "ids_sha256": hashlib.sha256(data).hexdigest(),
                "decoded_sha256": hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest()}
@@ -203,8 +206,6 @@ def encoded(docs: DataFrame, path: str, text_col: str = "text", ids: bool = True
             for lo in range(0, len(ts), step):
                 done = [finish(*c.encode(t)) for t in ts.slice(lo, step).to_pylist()]
                 part = [rows.slice(lo, step)]
-                kinds = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
-                kinds += [("ids", pa.list_(pa.int32()))] * ids
                 yield pa.RecordBatch.from_arrays(part + [pa.array([x[k] for x in done], kind) for k, kind in kinds],
                                                  names=["row"] + [k for k, _ in kinds])
 
@@ -238,7 +239,8 @@ def encoded(docs: DataFrame, path: str, text_col: str = "text", ids: bool = True
                 parts.append(c.encode("".join(ts[k:end + 1])))
             k = end + 1
         whole = finish(b"".join(d for d, _ in parts), " ".join(x for _, x in parts if x))
-        return pa.Table.from_pydict({"key": [key[0].as_py()], **{a: [v] for a, v in whole.items()}})
+        return pa.Table.from_pydict({"key": [key[0].as_py()], **{a: [v] for a, v in whole.items()}},
+                                    schema=pa.schema([("key", pa.string()), *kinds]))
 
     row_type = plain.schema["row"].dataType.simpleString()
     near = plain.filter(F.length("t") <= PIECE).mapInArrow(short, f"row {row_type}, {cols}")
