@@ -64,8 +64,11 @@ def hilbert(levels: list[Column], bits: int) -> Column:
                       for b in range(bits - 1, 0, -1) for i in range(n)])
 
     def grey(x):
+        def add(i):     # a lambda with a default would take it as the element's index
+            return lambda a: put(a, i, F.get(a, F.lit(i)).bitwiseXOR(F.get(a, F.lit(i - 1))))
+
         for i in range(1, n):
-            x = let(x, lambda a, i=i: put(a, i, F.get(a, F.lit(i)).bitwiseXOR(F.get(a, F.lit(i - 1)))))
+            x = let(x, add(i))
         return x
 
     def tail(x):
