@@ -10,16 +10,21 @@ its copies.
   members of a bucket are joined to its least member of the other size and no pair is
   looked at. A subset's key is the 128-bit sum of its shingles' digests.
 * Heavy sets go through inverted lists. Under one order of all shingles, rare ones
-  first, two linked sets share one among their first places: place i of a set of size a
-  can be the first common one only for partners up to floor(9 (a - i) / 4) - a, which is
-  stored with each entry and shortens the lists. The order comes from a sketch of
-  ``BUCKETS`` counters over all documents; any order gives the same links.
-* Candidates are not all pairs of a list. In a few rounds every class of sets already
-  linked tests its best pivots (one set per list); then the lists in which different
-  classes still meet give their pairs across classes, so no link between classes is
-  lost while a list of near copies of one text costs its length and not its square.
+  first, two linked sets share ``SHARED`` (or all c of a link) among their first places:
+  place i of a set of size a counts only for partners up to
+  floor(9 (a - i - 1 + SHARED) / 4) - a, which is stored with each entry. Of two entries
+  that meet, one is early (its place admits partners of its own size), so lists without
+  an early entry are dropped and late entries never meet each other. The order comes from a sketch of ``BUCKETS`` counters over all documents; any
+  order gives the same links.
+* Candidates are not all pairs of a list: only pairs of different classes of sets already
+  linked count. While long lists hold many of them, every set tests those ``PIVOTS`` sets
+  that it meets most among a few pivots of each list (the least by as many hashes, so
+  lists agree on them); a family of near copies becomes one class with a few tests for
+  each member. The lists in which different classes still meet then give all their pairs
+  across classes. No link between classes is lost, and a family of near copies costs its
+  size and not its square.
 * The boundary is the size with the least expected cost, from the histogram of sizes
-  and the mean list length that the sketch implies.
+  and the mean list length that the sketch implies (as far as pivots leave it).
 
 Sets are known by a 64-bit sum of digests; a false meeting of two of 10^9 sets has a
 chance of about 3 in 100.
@@ -31,6 +36,7 @@ ids are not dropped by ``one_per_class``); an empty table gives no rows.
 """
 
 import itertools
+import zlib
 from math import comb
 
 from pyspark.sql import DataFrame, functions as F
@@ -42,7 +48,9 @@ BUCKETS = 1 << 20
 CHUNK = 1 << 12         # counters in one row of the sketch
 MOST_LIGHT = 24         # sizes up to which the cost of subsets is looked at
 HOT = 10_000            # a shingle that more documents hold is kept out of single-task lists
-ROUNDS = 3
+SHARED = 10             # first shingles that a candidate pair must share
+PIVOTS = 6              # pivots of a list, and partners that a set tests in a round
+EASY = 8                # pairs across classes for each entry that are looked at without pivots
 
 
 def overlap(a: int, b: int) -> int:
@@ -56,8 +64,8 @@ def partners(a: int):
 
 
 def prefix(a: int) -> int:
-    """Places that can hold the first common shingle."""
-    return a - -(-4 * a // 5) + 1
+    """Places that can be among the first ``SHARED`` common shingles of a link."""
+    return min(a, a - -(-4 * a // 5) + SHARED)
 
 
 def subset_count(a: int, limit: int) -> int:
@@ -65,24 +73,29 @@ def subset_count(a: int, limit: int) -> int:
 
 
 def boundary(histogram: dict, mean_list: float) -> int:
-    """The size up to which sets enumerate subsets: least total expected cost."""
+    """The size up to which sets enumerate subsets: least total expected cost.
+
+    An entry of a list costs a look at the others of a short list; in a long one pivots
+    bound it by ``EASY``.
+    """
+    entry = 1 + min(mean_list, EASY)
+
     def cost(x):
         light = sum(n * subset_count(a, x) for a, n in histogram.items() if a <= x)
         # sets that may meet larger ones are in the lists too
-        return light + sum(n * prefix(a) * mean_list for a, n in histogram.items() if 5 * a // 4 > x)
+        return light + sum(n * prefix(a) * entry for a, n in histogram.items() if 5 * a // 4 > x)
 
     return min(range(0, MOST_LIGHT + 1), key=cost)
 
 
 def surveyed(rows: DataFrame):
-    """(sets, sketch rows) in one reading: sets (id, n, key, check)."""
-    import pyarrow as pa
-
+    """(sets, sketch rows) in one reading: sets (id, n, key, s), s only up to MOST_LIGHT."""
     def run(batches):
         import numpy as np
+        import pyarrow as pa
         from . import shingles
         counts = np.zeros(BUCKETS, dtype=np.int32)
-        names = ["id", "n", "key", "chk", "chunk", "counts"]
+        names = ["id", "n", "key", "s", "chunk", "counts"]
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 ids = b.column("id").slice(lo, 512)
@@ -93,28 +106,28 @@ def surveyed(rows: DataFrame):
                 yield pa.RecordBatch.from_arrays([
                     ids, pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([shingles.total(s, 1) for s in sets], pa.int64()),
-                    pa.array([shingles.total(s, 2) for s in sets], pa.int64()),
+                    pa.array([s.astype(np.int64) if len(s) <= MOST_LIGHT else None for s in sets], pa.list_(pa.int64())),
                     pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
         for i in range(0, BUCKETS, CHUNK):
             part = counts[i:i + CHUNK]
             if part.any():
                 yield pa.RecordBatch.from_arrays([
-                    pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()),
-                    pa.array([i // CHUNK], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=names)
+                    pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int64())),
+                    pa.array([i // CHUNK], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=names)
 
-    both = cut(rows.mapInArrow(run, "id bigint, n bigint, key bigint, chk bigint, chunk int, counts binary"))
-    return both.filter("chunk is null").select("id", "n", "key", "chk"), both.filter("chunk is not null").select("chunk", "counts")
+    both = cut(rows.mapInArrow(run, "id bigint, n bigint, key bigint, s array<bigint>, chunk int, counts binary"))
+    return both.filter("chunk is null").select("id", "n", "key", "s"), both.filter("chunk is not null").select("chunk", "counts")
 
 
 def sketch(parts: DataFrame):
     """The counters as one array: a fixed 8 MB, whatever the input."""
     import numpy as np
-    import pyarrow as pa
 
     def add(key, table):
+        import pyarrow as pa
         s = np.zeros(CHUNK, dtype=np.int64)
         for c in table.column("counts"):
-            s += np.frombuffer(c.as_buffer(), dtype=np.int32)
+            s += np.frombuffer(zlib.decompress(c.as_py()), dtype=np.int32)
         return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([s.tobytes()], pa.binary())})
 
     out = np.zeros(BUCKETS, dtype=np.int64)
@@ -123,69 +136,80 @@ def sketch(parts: DataFrame):
     return out
 
 
-def emitted(rows: DataFrame, counts, limit: int) -> DataFrame:
-    """Entries of lists (kind 0: shingle, n, most, hot) and of subset buckets (kind 1)."""
-    import pyarrow as pa
+def listed(rows: DataFrame, counts, limit: int) -> DataFrame:
+    """Entries (x, key, n, most, hot) of the inverted lists: the first places of each set."""
     shared = rows.sparkSession.sparkContext.broadcast(counts)
-    names = ["kind", "key", "n", "x", "y", "most"]
+    names = ["x", "key", "n", "most", "hot"]
 
     def run(batches):
         import numpy as np
+        import pyarrow as pa
         from . import shingles
         counts = shared.value
-        seen = set()        # copies inside a task are emitted once
-
-        def light(s, key):
-            n = len(s)
-            m1 = shingles.mix(s + shingles.mix(np.uint64(3))).astype(object)
-            m2 = shingles.mix(s + shingles.mix(np.uint64(4))).astype(object)
-            t1, t2, wrap = sum(m1), sum(m2), 1 << 64
-            for b in partners(n):
-                if b > limit:
-                    continue
-                for gone in itertools.combinations(range(n), n - overlap(n, b)):
-                    x = (t1 - sum(m1[list(gone)])) % wrap
-                    y = (t2 - sum(m2[list(gone)])) % wrap
-                    yield x - (wrap if x >= wrap // 2 else 0), y - (wrap if y >= wrap // 2 else 0), b
-
+        seen = set()        # copies inside a task are listed once
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
+                cols = [[] for _ in names]
+                for s in shingles.sets_of(batch.column("t").slice(lo, 256).to_pylist()):
+                    n = len(s)
+                    if 5 * n // 4 <= limit:
+                        continue
+                    key = shingles.total(s, 1)
+                    if key in seen:
+                        continue
+                    if len(seen) < 1_000_000:
+                        seen.add(key)
+                    p = prefix(n)
+                    c = counts[(s & np.uint64(BUCKETS - 1)).astype(np.int64)]
+                    first = np.lexsort((s, c))[:p]
+                    most = 9 * (n - np.arange(p) - 1 + SHARED) // 4 - n
+                    for col, v in zip(cols, (s[first].astype(np.int64), np.full(p, key), np.full(p, n), most,
+                                             c[first] > HOT)):
+                        col.append(v)
+                if cols[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=names)
+
+    return rows.select("t").mapInArrow(run, "x bigint, key bigint, n bigint, most bigint, hot boolean")
+
+
+def subsets(sets: DataFrame, limit: int) -> DataFrame:
+    """Entries (key, n, lo, hi, x, y) of the buckets: the subsets of each light set."""
+    names = ["key", "n", "lo", "hi", "x", "y"]
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        from . import shingles
+        wrap = 1 << 64
+
+        def signed(v):
+            v %= wrap
+            return v - wrap if v >= wrap // 2 else v
+
+        for batch in batches:
+            out = [[] for _ in names]
+            for key, ids in zip(batch.column("key").to_pylist(), batch.column("s").to_pylist()):
                 with np.errstate(over="ignore"):
-                    cols = [[] for _ in names]
-                    subs = [[] for _ in names]
-                    for s in shingles.sets_of(batch.column("t").slice(lo, 256).to_pylist()):
-                        n = len(s)
-                        if not n:
-                            continue
-                        key = shingles.total(s, 1)
-                        if key in seen:
-                            continue
-                        if len(seen) < 1_000_000:
-                            seen.add(key)
-                        if n <= limit:
-                            for x, y, b in light(s, key):
-                                for c, v in zip(subs, (1, key, n, x, y, b)):
-                                    c.append(v)
-                        if 5 * n // 4 > limit:
-                            p = prefix(n)
-                            c = counts[(s & np.uint64(BUCKETS - 1)).astype(np.int64)]
-                            first = np.lexsort((s, c))[:p]
-                            most = 9 * (n - np.arange(p)) // 4 - n
-                            for col, v in zip(cols, (np.zeros(p, np.int32), np.full(p, key), np.full(p, n),
-                                                     s[first].astype(np.int64), (c[first] > HOT).astype(np.int64), most)):
-                                col.append(v)
-                for block, join in ((cols, np.concatenate), (subs, list)):
-                    if block[0]:
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(join(c), pa.int32() if k == "kind" else pa.int64()) for k, c in zip(names, block)],
-                            names=names)
-
-    return rows.select("t").mapInArrow(run, "kind int, key bigint, n bigint, x bigint, y bigint, most bigint")
+                    s = np.array(ids, dtype=np.int64).astype(np.uint64)
+                    a, b = (shingles.mix(s + shingles.mix(np.uint64(k))).tolist() for k in (3, 4))
+                n, ta, tb = len(ids), sum(a), sum(b)
+                for m in partners(n):
+                    if m > limit:
+                        continue
+                    for gone in itertools.combinations(range(n), n - overlap(n, m)):
+                        row = (key, n, min(n, m), max(n, m), signed(ta - sum(a[i] for i in gone)),
+                               signed(tb - sum(b[i] for i in gone)))
+                        for c, v in zip(out, row):
+                            c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=names)
+
+    light = sets.filter(f"n between 1 and {int(limit)}").select("key", "s").dropDuplicates(["key"])
+    return light.mapInArrow(run, ", ".join(f"{c} bigint" for c in names))
 
 
 def light_links(subsets: DataFrame) -> DataFrame:
     """Links of the subset buckets: everyone to the bucket's least set of the other size."""
-    d = subsets.select("key", "n", F.least("n", "most").alias("lo"), F.greatest("n", "most").alias("hi"), "x", "y").distinct()
+    d = cut(subsets)
     on = ["lo", "hi", "x", "y"]
     least = d.groupBy(*on).agg(F.min(F.when(F.col("n") == F.col("lo"), F.col("key"))).alias("a"),
                                F.min(F.when(F.col("n") == F.col("hi"), F.col("key"))).alias("b"),
@@ -196,110 +220,158 @@ def light_links(subsets: DataFrame) -> DataFrame:
 
 
 def shared_lists(entries: DataFrame) -> DataFrame:
-    """Entries (x, key, n, most) of shingles that at least two sets list.
+    """(key, n, places): per set its entries (x, most, hot) in lists that another set shares.
 
-    Lists of hot shingles are found by partial counts. The others have at most ``HOT``
-    entries (the sketch never counts too few), so a window may hold one.
+    Hot lists are kept whole. The others have at most ``HOT`` entries (the sketch never
+    counts too few), so a window may hold one.
     """
     from pyspark.sql import Window
-    cols = ["x", "key", "n", "most"]
-    e = entries.select(*cols, "y")
-    rare = (e.filter("y = 0").withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("x")))
-            .withColumn("lo", F.min("key").over(Window.partitionBy("x"))).withColumn("hi", F.max("key").over(Window.partitionBy("x")))
-            .filter("lo <> hi").select(*cols))
-    hot = e.filter("y = 1").groupBy(*cols).agg(F.count(F.lit(1)).alias("c")).select(*cols)
-    return rare.union(hot)
+    w = Window.partitionBy("x", F.when(F.col("hot"), F.col("key")))       # hot lists are not gathered
+    e = entries.withColumns({"lo": F.min("key").over(w), "hi": F.max("key").over(w),
+                             "early": F.max(F.col("most") >= F.col("n")).over(w)})
+    # a copy listed by several tasks repeats its entries
+    return (e.filter("hot or (lo <> hi and early)").groupBy("key", "n")
+            .agg(F.array_distinct(F.collect_list(F.struct("x", "most", "hot"))).alias("places")))
 
 
-def read_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(key, n, s) of the wanted keys, one row each; s holds the digests."""
-    import pyarrow as pa
+def read_sets(rows: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(key, s) of the wanted keys, read again from one document of each key.
 
+    Nothing but keys and ids is shuffled; documents of equal ids may give a row twice.
+    """
     def run(batches):
-        from . import shingles
         import numpy as np
+        import pyarrow as pa
+        from . import shingles
         for b in batches:
             for lo in range(0, b.num_rows, 256):
-                sets = shingles.sets_of(b.column("t").slice(lo, 256).to_pylist())
+                found = shingles.sets_of(b.column("t").slice(lo, 256).to_pylist())
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([shingles.total(s, 1) for s in sets], pa.int64()),
-                    pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64()))], names=["key", "s"])
+                    pa.array([shingles.total(s, 1) for s in found], pa.int64()),
+                    pa.array([s.astype(np.int64) for s in found], pa.list_(pa.int64()))], names=["key", "s"])
 
-    all_sets = rows.select("t").mapInArrow(run, "key bigint, s array<bigint>").filter("size(s) > 0")
-    return (all_sets.join(small(wanted, 200_000), "key", "left_semi")
-            .groupBy("key").agg(F.first("s").alias("s")))
+    one = sets.join(small(wanted, 200_000), "key", "left_semi").groupBy("key").agg(F.min("id").alias("id"))
+    ids = cut(one.select("id").distinct())
+    # null ids are not told apart by the join, so their rows are all read
+    chosen = rows.join(small(ids, 200_000), "id", "left_semi").select("t").union(rows.filter("id is null").select("t"))
+    return chosen.mapInArrow(run, "key bigint, s array<bigint>").join(small(wanted, 200_000), "key", "left_semi")
 
 
 def tested(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (u, v) that link."""
-    left = sets.select(F.col("key").alias("u"), F.col("s").alias("su"))
-    right = sets.select(F.col("key").alias("v"), F.col("s").alias("sv"))
+    left = sets.select(F.col("key").alias("u"), F.col("s").alias("su")).hint("merge")
+    right = sets.select(F.col("key").alias("v"), F.col("s").alias("sv")).hint("merge")
     d = pairs.select("u", "v").join(left, "u").join(right, "v")
     d = d.withColumn("o", F.size(F.array_intersect("su", "sv")).cast("bigint"))
-    return d.filter("100 * o >= 80 * (size(su) + size(sv) - o)").select("u", "v")
-
-
-def fits():
-    """Entries p and q of one list may belong to linked sets."""
-    return (F.col("p.most") >= F.col("q.n")) & (F.col("q.most") >= F.col("p.n"))
+    return d.filter("100 * o >= 80 * (size(su) + size(sv) - o)").select("u", "v").distinct()
 
 
-def classes(rows: DataFrame, id_col="id") -> DataFrame:
+def classes(rows: DataFrame) -> DataFrame:
     """(id, n, key, comp) for rows (id, t): comp is the key of the class."""
     sets, parts = surveyed(rows)
     counts = sketch(parts)
     sizes = {r.n: r.c for r in sets.filter(f"n between 1 and {2 * MOST_LIGHT}").groupBy("n")
              .agg(F.count(F.lit(1)).alias("c")).collect()}
     total = max(int(counts.sum()), 1)
-    background = total / BUCKETS
-    mean_list = 1 + max(float(((counts - background) ** 2).sum()) / total - 1, 0.0)
+    mean_list = 1 + max(float(((counts - total / BUCKETS) ** 2).sum()) / total - 1, 0.0)
     limit = boundary(sizes, mean_list)
-    entries = emitted(rows, counts, limit)
-    lists = cut(shared_lists(entries.filter("kind = 0")))
-    links = cut(light_links(entries.filter("kind = 1"))) if limit else None
-    members = cut(lists.select("key").distinct())
-    kept = cut(read_sets(rows, members))
+    lists = cut(shared_lists(listed(rows, counts, limit)))
+    links = cut(light_links(subsets(sets, limit))) if limit else None
     labels = components(links) if links is not None else None
-    for turn in range(ROUNDS + 1):
-        at = with_class(lists, labels)
-        mixed = at.groupBy("x").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("x")
-        lists = cut(at.join(mixed, "x", "left_semi").select("x", "key", "n", "most"))
-        at = cut(with_class(lists, labels))
-        if at.isEmpty():
+    before = float("inf")
+    while True:
+        at, entries, across = meeting(lists, labels)
+        if not across:
             break
-        pairs = pivot_pairs(at, turn) if turn < ROUNDS else cross_pairs(at)
-        found = cut(tested(cut(pairs), kept))
+        # pivots go on while they at least halve what is left
+        last, before = across <= EASY * entries or 2 * across > before, across
+        pairs = cut(cross_pairs(at) if last else pivot_pairs(at))
+        asked = cut(pairs.select(F.col("u").alias("key")).union(pairs.select("v")).distinct())
+        found = cut(tested(pairs, cut(read_sets(rows, sets, asked))))
         if not found.isEmpty():
             links = cut(links.union(found)) if links is not None else found
             labels = components(links)
+        if last:
+            break
+    return with_class(sets.select("id", "n", "key"), labels)
+
+
+def with_class(sets: DataFrame, labels) -> DataFrame:
     if labels is None:
         return sets.withColumn("comp", F.col("key"))
-    return (sets.join(labels.withColumnRenamed("node", "key"), "key", "left")
-            .withColumn("comp", F.coalesce("comp", "key")))
+    found = labels.select(F.col("node").alias("key"), F.col("comp").alias("found"))
+    return (sets.join(found.hint("merge"), "key", "left")
+            .withColumn("comp", F.coalesce("found", "key")).drop("found"))
 
 
-def with_class(lists: DataFrame, labels) -> DataFrame:
-    if labels is None:
-        return lists.withColumn("comp", F.col("key"))
-    return (lists.join(labels.withColumnRenamed("node", "key"), "key", "left")
-            .withColumn("comp", F.coalesce("comp", "key")))
+def meeting(lists: DataFrame, labels):
+    """(entries of lists in which classes meet, their number, pairs across classes)."""
+    at = with_class(lists, labels).select("key", "n", "comp", F.explode("places").alias("e")).select(
+        "e.x", "key", "n", "e.most", "e.hot", "comp")
+    # early entries e meet early and late entries l: pairs of a list, less those inside classes
+    one = F.col("most") >= F.col("n")
+    per = at.groupBy("x", "comp").agg(F.count_if(one).cast("double").alias("e"), F.count_if(~one).cast("double").alias("l"))
+    per = per.groupBy("x").agg(F.sum("e").alias("e"), F.sum("l").alias("l"),
+                               F.sum(F.col("e") * F.col("e") / 2 + F.col("e") * F.col("l")).alias("own"))
+    per = per.withColumns({"c": F.col("e") + F.col("l"),
+                           "across": F.col("e") * F.col("e") / 2 + F.col("e") * F.col("l") - F.col("own")}).filter("across > 0")
+    at = cut(at.join(per.select("x", "across", "c").hint("merge"), "x"))
+    # every entry carries its list's totals, so one aggregate counts lists by their entries
+    sums = at.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("across") / F.col("c")).alias("pairs")).first()
+    return at.drop("across", "c"), sums.n, float(sums.pairs or 0)
+
+
+def needed(n, m):
+    """First shingles that linked sets of these sizes share at least."""
+    return F.least(F.lit(SHARED), F.ceil(4 * (n + m) / 9))
 
 
-def pivot_pairs(at: DataFrame, turn: int) -> DataFrame:
-    """Every set with the one pivot that it meets in most lists, if of another class."""
-    rank = F.struct(F.xxhash64("key", F.lit(turn)).alias("r"), "key", "n", "most", "comp")
-    pivots = at.groupBy("x").agg(F.min(rank).alias("q"))
-    met = (at.alias("p").join(pivots, "x").filter("p.comp <> q.comp").filter(fits())
-           .groupBy(F.col("p.key").alias("u"), F.col("q.key").alias("v")).agg(F.count(F.lit(1)).alias("c")))
-    best = met.groupBy("u").agg(F.max(F.struct("c", "v")).alias("b"))
-    return best.select("u", F.col("b.v").alias("v"))
+def fits():
+    """Entries p and q of one list may belong to linked sets."""
+    return (F.col("p.most") >= F.col("q.n")) & (F.col("q.most") >= F.col("p.n"))
+
+
+def met(pairs: DataFrame) -> DataFrame:
+    """(u, v, c) of the pairs that share enough entries."""
+    return (pairs.groupBy(F.col("p.key").alias("u"), F.col("q.key").alias("v"))
+            .agg(F.count(F.lit(1)).alias("c"), F.first("p.n").alias("n"), F.first("q.n").alias("m"))
+            .filter(F.col("c") >= needed(F.col("n"), F.col("m"))).select("u", "v", "c"))
+
+
+def pivot_pairs(at: DataFrame) -> DataFrame:
+    """(u, v): every set with the pivots of other classes that it meets most."""
+    from pyspark.sql import Window
+
+    def pivot(i):
+        return F.min(F.when(F.col("most") >= F.col("n"), F.struct(
+            F.xxhash64("key", F.lit(i)).alias("r"), "key", "n", "most", "comp")))
+
+    names = [f"q{i}" for i in range(PIVOTS)]
+    w = Window.partitionBy("x")         # at most HOT entries
+    cold = at.filter("not hot").withColumns({q: pivot(i).over(w) for i, q in enumerate(names)})
+    hot = at.filter("hot")
+    hot = hot.join(hot.groupBy("x").agg(*[pivot(i).alias(q) for i, q in enumerate(names)]).hint("merge"), "x")
+    own = F.filter(F.array_distinct(F.array(*names)), lambda q: (q["comp"] != F.col("comp")) & (q["n"] <= F.col("most"))
+                   & (F.col("n") <= q["most"]))
+    d = cold.unionByName(hot).select("key", "n", F.transform(own, lambda q: F.struct(q["key"].alias("key"), q["n"].alias("n"))).alias("qs"))
+    # a set has as many rows as places, so its pivots are counted inside its own row
+    d = d.groupBy("key", "n").agg(F.flatten(F.collect_list("qs")).alias("qs"))
+    counted = F.transform(F.array_distinct("qs"), lambda q: F.struct(
+        F.size(F.filter("qs", lambda x: x["key"] == q["key"])).alias("c"), q["key"].alias("v"), q["n"].alias("m")))
+    top = F.slice(F.sort_array(F.filter(counted, lambda q: q["c"] >= needed(F.col("n"), q["m"])), False), 1, PIVOTS)
+    d = d.select(F.col("key").alias("u"), F.explode(top).alias("q"))
+    return d.select(F.least("u", "q.v").alias("u"), F.greatest("u", "q.v").alias("v")).distinct()
 
 
 def cross_pairs(at: DataFrame) -> DataFrame:
-    """All pairs of different classes that meet in a list."""
-    d = at.alias("p").join(at.alias("q"), F.col("p.x") == F.col("q.x")).filter(
-        (F.col("p.key") < F.col("q.key")) & (F.col("p.comp") != F.col("q.comp"))).filter(fits())
-    return d.select(F.col("p.key").alias("u"), F.col("q.key").alias("v")).distinct()
+    """All pairs of different classes that meet often enough."""
+    early, other = at.filter("most >= n").alias("p"), at.alias("q").hint("merge")
+    late = F.col("q.most") < F.col("q.n")
+    d = early.join(other, F.col("p.x") == F.col("q.x")).filter(
+        (late | (F.col("p.key") < F.col("q.key"))) & (F.col("p.comp") != F.col("q.comp"))).filter(fits())
+    d = d.select(*[F.when(F.col("p.key") < F.col("q.key"), F.struct("p.key", "p.n")).otherwise(F.struct("q.key", "q.n")).alias("p"),
+                   F.when(F.col("p.key") < F.col("q.key"), F.struct("q.key", "q.n")).otherwise(F.struct("p.key", "p.n")).alias("q")])
+    return met(d).select("u", "v")
 
 
 def linked(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:

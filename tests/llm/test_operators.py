@@ -52,9 +52,11 @@ def test_ngram_boundary_changes_no_result(spark, monkeypatch, limit):
     assert got == sorted(plain.jaccard_classes(rows), key=str)
 
 
-def test_ngram_hot_lists(spark, monkeypatch):
+@pytest.mark.parametrize("easy", [0, 8])
+def test_ngram_hot_lists(spark, monkeypatch, easy):
     """Texts that share most of a common passage, and drifting near copies."""
     monkeypatch.setattr(ngram_join, "HOT", 3)
+    monkeypatch.setattr(ngram_join, "EASY", easy)
     passage = " ".join(f"p{j}" for j in range(60))
     texts = [f"{passage} " + " ".join(f"o{k}_{j}" for j in range(k % 30)) for k in range(120)]
     drift = [f"d{j}" for j in range(100)]
@@ -70,8 +72,8 @@ def test_ngram_hot_lists(spark, monkeypatch):
 
 def test_boundary_follows_cost():
     sizes = {n: 100 for n in range(1, 30)}
-    low, high = ngram_join.boundary(sizes, 1.0), ngram_join.boundary(sizes, 500.0)
-    assert 0 <= low < high <= ngram_join.MOST_LIGHT
+    low, high = ngram_join.boundary(sizes, 0.0), ngram_join.boundary(sizes, 500.0)
+    assert 0 < low < high <= ngram_join.MOST_LIGHT
     for a in range(1, 60):
         for b in ngram_join.partners(a):
             assert ngram_join.overlap(a, b) == min(o for o in range(0, a + b + 1) if 100 * o >= 80 * (a + b - o))
