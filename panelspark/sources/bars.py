@@ -180,7 +180,8 @@ def running_total(ev: DataFrame, x: str, out: str, unit="hour") -> DataFrame:
         Window.unboundedPreceding, -1)
     offsets = totals.select("instrument", "_blk",
                             F.coalesce(F.sum("_t").over(w), F.lit(0)).alias("_off"))
-    inner = Window.partitionBy("instrument", "_blk").orderBy("ts", "event_id").rowsBetween(
+    order = [c for c in ("ts", "event_id") if c in ev.columns]
+    inner = Window.partitionBy("instrument", "_blk").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, 0)
     return (blocked.withColumn("_in", F.sum(x).over(inner))
             .join(offsets, ["instrument", "_blk"])
