@@ -97,29 +97,27 @@ def splitting_tree(quotas: DataFrame, shards: int = SHARDS, seed: int = 0) -> Da
     A node holds one row per source; its left half of the shards gets a number of blocks
     in proportion, drawn from the node's without replacement.
     """
-    def split(pdf):
+    def split(table):
         import numpy as np
-        lo, hi = int(pdf.lo.iloc[0]), int(pdf.hi.iloc[0])
+        import pyarrow as pa
+        rows = sorted(table.to_pylist(), key=lambda r: (r["source"] is None, r["source"] or ""))
+        lo, hi = rows[0]["lo"], rows[0]["hi"]
         if hi - lo <= 1:
-            return pdf
-        pdf = pdf.sort_values("source", na_position="last").reset_index(drop=True)
-        mid, total = halves(lo, hi), int(pdf.quota.sum())
-        # shard k of a node's n gets blocks k * total // n to (k + 1) * total // n
+            return table
+        mid, total = halves(lo, hi), sum(r["quota"] for r in rows)
+        # the left half of a node's shards gets its share of the blocks
         take = total * (mid - lo) // (hi - lo)
-        rng = np.random.default_rng([seed, lo, hi])
-        left = np.zeros(len(pdf), dtype=np.int64)
-        rest = total
-        for i, q in enumerate(pdf.quota):       # conditional hypergeometric draws, any counts
-            rest -= int(q)
-            left[i] = hypergeometric(rng, int(q), rest, take)
-            take -= int(left[i])
-        a, b = pdf.assign(quota=left, hi=mid), pdf.assign(quota=pdf.quota - left, lo=mid)
-        import pandas as pd
-        return pd.concat([a, b])[["source", "lo", "hi", "quota"]]
+        rng, rest, out = np.random.default_rng([seed, lo, hi]), total, []
+        for r in rows:      # conditional hypergeometric draws, any counts
+            rest -= r["quota"]
+            left = hypergeometric(rng, r["quota"], rest, take)
+            take -= left
+            out += [{**r, "hi": mid, "quota": left}, {**r, "lo": mid, "quota": r["quota"] - left}]
+        return pa.Table.from_pylist(out, schema=table.schema)
 
     d = quotas.select("source", F.lit(0).alias("lo"), F.lit(int(shards)).alias("hi"), "quota")
     for _ in range(max(0, (int(shards) - 1).bit_length())):
-        d = d.groupBy("lo", "hi").applyInPandas(split, d.schema)
+        d = d.groupBy("lo", "hi").applyInArrow(split, d.schema)
     return d.select("source", F.col("lo").alias("shard"), "quota")
 
 

@@ -120,20 +120,22 @@ def surveyed(rows: DataFrame):
 
 
 def sketch(parts: DataFrame):
-    """The counters as one array: a fixed 8 MB, whatever the input."""
-    import numpy as np
-
+    """(counters as bytes, their sum, their sum of squares): a fixed 8 MB, whatever the input."""
     def add(key, table):
+        import numpy as np
         import pyarrow as pa
         s = np.zeros(CHUNK, dtype=np.int64)
         for c in table.column("counts"):
             s += np.frombuffer(zlib.decompress(c.as_py()), dtype=np.int32)
-        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([s.tobytes()], pa.binary())})
+        f = s.astype(float)
+        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([s.tobytes()], pa.binary()),
+                         "n": pa.array([float(f.sum())]), "sq": pa.array([float((f * f).sum())])})
 
-    out = np.zeros(BUCKETS, dtype=np.int64)
-    for r in parts.groupBy("chunk").applyInArrow(add, "chunk int, counts binary").collect():
-        out[r.chunk * CHUNK:(r.chunk + 1) * CHUNK] = np.frombuffer(r.counts, dtype=np.int64)
-    return out
+    out, n, sq, width = bytearray(8 * BUCKETS), 0.0, 0.0, 8 * CHUNK
+    for r in parts.groupBy("chunk").applyInArrow(add, "chunk int, counts binary, n double, sq double").collect():
+        out[r.chunk * width:(r.chunk + 1) * width] = r.counts
+        n, sq = n + r.n, sq + r.sq
+    return bytes(out), n, sq
 
 
 def listed(rows: DataFrame, counts, limit: int) -> DataFrame:
@@ -145,7 +147,7 @@ def listed(rows: DataFrame, counts, limit: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
         from . import shingles
-        counts = shared.value
+        counts = np.frombuffer(shared.value, dtype=np.int64)
         seen = set()        # copies inside a task are listed once
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
@@ -269,11 +271,11 @@ def tested(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def classes(rows: DataFrame) -> DataFrame:
     """(id, n, key, comp) for rows (id, t): comp is the key of the class."""
     sets, parts = surveyed(rows)
-    counts = sketch(parts)
+    counts, total, squares = sketch(parts)
     sizes = {r.n: r.c for r in sets.filter(f"n between 1 and {2 * MOST_LIGHT}").groupBy("n")
              .agg(F.count(F.lit(1)).alias("c")).collect()}
-    total = max(int(counts.sum()), 1)
-    mean_list = 1 + max(float(((counts - total / BUCKETS) ** 2).sum()) / total - 1, 0.0)
+    total = max(total, 1.0)
+    mean_list = 1 + max((squares - total * total / BUCKETS) / total - 1, 0.0)      # less what chance puts together
     limit = boundary(sizes, mean_list)
     lists = cut(shared_lists(listed(rows, counts, limit)))
     links = cut(light_links(subsets(sets, limit))) if limit else None

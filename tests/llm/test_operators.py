@@ -41,7 +41,7 @@ def test_ngram_join(spark, sf, docs, edge, edge_rows, nothing):
     assert {r.doc_id for r in kept.collect()} == {c for _, _, c in plain.jaccard_classes([r[:2] for r in edge_rows])} | {None}
 
 
-@pytest.mark.parametrize("limit", [0, 6, 16])
+@pytest.mark.parametrize("limit", [0, 16])
 def test_ngram_boundary_changes_no_result(spark, monkeypatch, limit):
     texts = [" ".join(f"a{j}" for j in range(n)) for n in range(4, 26)]
     texts += [t.replace("a0", "b") for t in texts] + [t + " c" for t in texts] + [" ".join(t.split()[2:]) for t in texts]
