@@ -8,6 +8,7 @@ survives the loss of executors; it also cuts the lineage of all later queries.
 
 import hashlib
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,14 +31,19 @@ def shared_dir(spark: SparkSession):
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (never a local one) that cuts a loop's lineage."""
+    """The frame written to the shared folder and read again: cuts a loop's lineage.
+
+    A frame that is read from files is planned with the files' size. ``DataFrame.checkpoint``
+    keeps the estimate of the plan it cuts, which every join multiplies, so that a loop's
+    estimates double their digits each round and the driver soon only plans.
+    """
     spark = df.sparkSession
-    path = shared_dir(spark)
-    if path is None:
+    root = shared_dir(spark)
+    if root is None:
         raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(path)
-    return df.checkpoint(eager=True)
+    path = f"{root}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def state_of(spark: SparkSession, sf_dir: str) -> str:

@@ -113,3 +113,16 @@ def test_permutation_is_global_at_any_size(spark):
         rows = got.filter(f"rep = {rep}").select("x", "y").collect()
         assert sorted(r.x for r in rows) == list(map(float, range(n)))
         assert abs(np.corrcoef([r.x for r in rows], [r.y for r in rows])[0, 1]) < 0.05
+
+
+def test_size_estimates_stay_flat_over_the_rounds_of_a_loop(spark):
+    """A loop that joins its state with itself plans each round with the size of the files."""
+    from panelspark.sources.store import checkpointed
+    state = checkpointed(spark.range(50).select("id", (F.col("id") * 7 % 50).alias("next")))
+    bits = []
+    for _ in range(30):
+        step = state.select(F.col("id").alias("next"), F.col("next").alias("then"))
+        state = checkpointed(state.join(step, "next").select("id", F.col("then").alias("next")))
+        bits.append(state._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bitLength())
+    assert max(bits) - min(bits) <= 4
+    assert state.count() == 50
