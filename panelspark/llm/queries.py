@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.readers import table
 from ..sources.store import shared_dir
-from . import bpe, dedup, licenses, mixing, ngram_join, pii, quality, sharding, sql, urls, warc
+from . import (align, bpe, conversations, dedup, licenses, mixing, ngram_join, pii, quality, sharding, sql, tokenfile, urls,
+               warc)
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -46,9 +47,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(docs, vocabulary(), ids=False).drop("text")
 
 
-def vocabulary() -> str:
+def vocabulary(name: str = VOCABULARY) -> str:
     import public_tokenizers
-    return public_tokenizers.path(VOCABULARY)
+    return public_tokenizers.path(name)
 
 
 @query("op4_pii")
@@ -86,3 +87,22 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_exact_dedup", sql.DEDUP)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.copy_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op11_token_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return align.aligned(docs, vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"), groups=False).drop("text")
+
+
+@query("op12_conversation_repair")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = conversations.repaired(conversations.damaged(table(spark, sf_dir, "conversations")))
+    return r.withColumn("repaired_sha256", conversations.digest(F.col("turns"))).drop("turns")
+
+
+@query("op13_token_files")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/ids-{uuid.uuid4().hex}"
+    tokenfile.write(table(spark, sf_dir, "documents"), path, vocabulary())
+    return tokenfile.read(spark, path).select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
