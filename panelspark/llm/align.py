@@ -15,7 +15,9 @@ corpus: their keys and counts are vectors of a known size.
   hash, with the key stored there compared.
 
 Neither tokenizer merges across a space that follows a character other than white
-space, so a text is cut there, and a task aligns every distinct piece once.
+space, so a text is cut there, and a task aligns every distinct piece once. A also cuts
+a stop from a letter before it, and B merges no two bytes that stand side by side in none
+of its pieces; where both hold, the text is cut as well.
 
 Defined results: texts that are null, empty, or not given back byte for byte by both
 tokenizers have no tokens, zeros and an empty digest, and count for nothing; special
@@ -80,7 +82,16 @@ class Pair:
         self.n_b = len(self.bytes_b)
         if any(b" " in t.lstrip(b" ") for t in self.bytes_b):
             raise ValueError("a piece of B goes across a space, so texts cannot be cut there")
-        self.space = self.b.encode("a ")[len(self.b.encode("a")):]      # a lone space, which has no text of its own
+        self.stops = np.zeros((256, 256), dtype=bool)
+        self.stops[np.ix_(units.LETTER, units.STOP)] = True
+        for t in self.bytes_b:
+            for x, y in zip(t, t[1:]):
+                self.stops[x, y] = False
+        # B puts a space before a text, so pieces without one are encoded after a letter they are cut from
+        self.before = {" ": "a"} | {chr(y): chr(np.flatnonzero(self.stops[:, y])[0]) for y in np.flatnonzero(self.stops.any(axis=0))}
+        self.before_size = {c: len(self.b.encode(x)) for c, x in self.before.items()}
+        self.len_a, self.len_b = list(map(len, self.bytes_a)), list(map(len, self.bytes_b))
+        self.name_a, self.name_b = list(map(str, range(len(self.len_a)))), list(map(str, range(len(self.len_b))))
         self.keys, self.number = [], {}         # pairs of ids in the order in which they were met
         self.pieces = units.Units(self.learn, self.forget)
 
@@ -99,9 +110,11 @@ class Pair:
     def learn(self, pieces):
         texts = [p.decode("utf-8", "replace") for p in pieces]
         encoded = self.a.encode_batch_fast(texts, add_special_tokens=False)
+        own = [len(t) > 1 and t[0] == " " for t in texts]
+        ids = self.b.encode([t[1:] if o else self.before[t[0]] + t for t, o in zip(texts, own)], num_threads=1)
         links, sizes = [], []
-        for piece, ea, ib in zip(pieces, encoded, self.b.encode([t[1:] for t in texts], num_threads=1)):
-            text, met, size = self.one(piece, ea.ids, ib if len(piece) > 1 else self.space)
+        for piece, text, o, ea, ib in zip(pieces, texts, own, encoded, ids):
+            text, met, size = self.one(piece, ea.ids, ib if o else ib[self.before_size[text[0]]:])
             links.append(met)
             sizes.append(size)
             self.text.append(text)
@@ -110,36 +123,34 @@ class Pair:
 
     def one(self, piece, ia, ib):
         """(groups, links, (n_a, n_b, bad)) of a piece."""
-        ta, tb = self.bytes_a, self.bytes_b
-        if b"".join([ta[i] for i in ia]) != piece or b"".join([tb[i] for i in ib]) != piece:
-            return "", [], (0, 0, 1)
-        groups, met, i, j, na, nb = [], [], 0, 0, len(ia), len(ib)
-        while i < na:
-            first_a, first_b, x, y = i, j, len(ta[ia[i]]), len(tb[ib[j]])
-            while x != y:
-                if x < y:
-                    i += 1
-                    x += len(ta[ia[i]])
-                else:
-                    j += 1
-                    y += len(tb[ib[j]])
-            met.append(self.numbered(ia[i] * self.n_b + ib[j]))
-            i, j = i + 1, j + 1
-            groups.append(",".join(map(str, ia[first_a:i])) + "|" + ",".join(map(str, ib[first_b:j])))
-        return ";".join(groups), met, (na, nb, 0)
+        if b"".join([self.bytes_a[i] for i in ia]) != piece or b"".join([self.bytes_b[i] for i in ib]) != piece:
+            return "", (), (0, 0, 1)
+        la, lb, names_a, names_b, number, n_b = self.len_a, self.len_b, self.name_a, self.name_b, self.number, self.n_b
+        groups, met, x, y, j, first_a, first_b = [], [], 0, 0, 0, 0, 0
+        for i, a in enumerate(ia, 1):
+            x += la[a]
+            while y < x:
+                b = ib[j]
+                y += lb[b]
+                j += 1
+            if x == y:
+                key = a * n_b + b
+                n = number.get(key)
+                met.append(self.numbered(key) if n is None else n)
+                groups.append(",".join([names_a[k] for k in ia[first_a:i]]) + "|" + ",".join([names_b[k] for k in ib[first_b:j]]))
+                first_a, first_b = i, j
+        return ";".join(groups), met, (len(ia), len(ib), 0)
 
     def numbered(self, key):
-        n = self.number.get(key)
-        if n is None:
-            n = self.number[key] = len(self.keys)
-            self.keys.append(key)
+        n = self.number[key] = len(self.keys)
+        self.keys.append(key)
         return n
 
     def aligned(self, data, bounds, text: bool):
         """Per text n_a, n_b, number of links, groups; and all links as numbers of pairs."""
         n = len(bounds) - 1
         sizes, counts, links, parts = np.zeros((3, n), dtype=np.int64), np.zeros(n, dtype=np.int64), [], [[] for _ in range(n)]
-        starts, ends = units.spaced_spans(data, bounds)
+        starts, ends = units.spaced_spans(data, bounds, self.stops)
         first = np.searchsorted(starts, bounds)
         for i, j, numbers in self.pieces.slices(data, starts, ends):
             own = np.searchsorted(bounds, starts[i:j], "right") - 1

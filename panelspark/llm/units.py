@@ -7,6 +7,8 @@ are handed to ``learn``. Units beyond ``LONG`` bytes, and units whose first dige
 are told apart by their bytes.
 """
 
+import itertools
+
 import numpy as np
 
 U = np.uint64
@@ -87,14 +89,18 @@ def word_spans(data, bounds):
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
-def spaced_spans(data, bounds):
-    """Texts cut before every space that surely follows a character other than white space."""
+def spaced_spans(data, bounds, stops):
+    """Texts cut before every space that surely follows a character other than white space.
+
+    ``stops`` (letter, stop) tells further pairs of bytes that are cut apart.
+    """
     cut = np.zeros(len(data), dtype=bool)
     at = np.flatnonzero(data == 32)
     at = at[at > 0]
     one, two, three = data[at - 1], data[np.maximum(at - 2, 0)], data[np.maximum(at - 3, 0)]
     lead = np.where(two >= 0xC0, two, three)
     cut[at[np.where(one < 0x80, one > 32, ~DOUBTFUL[lead])]] = True
+    cut[1:] |= stops[data[:-1], data[1:]]
     cut[bounds[:-1][bounds[:-1] < bounds[1:]]] = True
     starts = np.flatnonzero(cut)
     return starts, np.append(starts[1:], len(data))
@@ -191,7 +197,7 @@ class Ragged:
         while self.rows + len(lists) + 1 > len(self.at):
             self.at = np.concatenate([self.at, np.empty_like(self.at)])
         if total:
-            self.flat[self.used:self.used + total] = np.concatenate([np.asarray(x, dtype=self.flat.dtype) for x in lists])
+            self.flat[self.used:self.used + total] = np.fromiter(itertools.chain.from_iterable(lists), self.flat.dtype, total)
         self.at[self.rows + 1:self.rows + len(lists) + 1] = self.used + np.cumsum(size)
         self.rows, self.used = self.rows + len(lists), self.used + total
 
