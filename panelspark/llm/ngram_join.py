@@ -222,18 +222,26 @@ def light_links(subsets: DataFrame) -> DataFrame:
 
 
 def shared_lists(entries: DataFrame) -> DataFrame:
-    """(key, n, places): per set its entries (x, most, hot) in lists that another set shares.
+    """(key, n, places): per set its entries (x, most, m, hot) in lists that another set shares.
 
-    Hot lists are kept whole. The others have at most ``HOT`` entries (the sketch never
-    counts too few), so a window may hold one.
+    Lists of the same sets become one list x that stands for ``m`` of them: near copies
+    share whole passages, and their lists would give the same pairs over and over. A set's
+    entry keeps its greatest ``most``, so no pair is lost and the test of pairs decides.
+    Hot lists are kept whole and as they are. The others have at most ``HOT`` entries (the
+    sketch never counts too few), so a window may hold one.
     """
     from pyspark.sql import Window
-    w = Window.partitionBy("x", F.when(F.col("hot"), F.col("key")))       # hot lists are not gathered
-    e = entries.withColumns({"lo": F.min("key").over(w), "hi": F.max("key").over(w),
-                             "early": F.max(F.col("most") >= F.col("n")).over(w)})
+    own = F.when(F.col("hot"), F.col("key"))        # hot lists are not gathered
+    w = Window.partitionBy("x", own)
     # a copy listed by several tasks repeats its entries
-    return (e.filter("hot or (lo <> hi and early)").groupBy("key", "n")
-            .agg(F.array_distinct(F.collect_list(F.struct("x", "most", "hot"))).alias("places")))
+    e = entries.withColumn("again", F.lag("key").over(w.orderBy("key")).eqNullSafe(F.col("key"))).filter("not again")
+    e = e.withColumns({"lo": F.min("key").over(w), "hi": F.max("key").over(w), "c": F.count(F.lit(1)).over(w),
+                       "early": F.max(F.col("most") >= F.col("n")).over(w),
+                       "s1": F.bit_xor(F.xxhash64("key", F.lit(1))).over(w), "s2": F.bit_xor(F.xxhash64("key", F.lit(2))).over(w)})
+    e = e.filter("hot or (lo <> hi and early)")
+    e = e.withColumn("x", F.when(F.col("hot"), F.col("x")).otherwise(F.xxhash64("s1", "s2", "c")))
+    e = e.groupBy("x", "key", "n", "hot").agg(F.max("most").alias("most"), F.count(F.lit(1)).alias("m"))
+    return e.groupBy("key", "n").agg(F.collect_list(F.struct("x", "most", "m", "hot")).alias("places"))
 
 
 def read_sets(rows: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -309,7 +317,7 @@ def with_class(sets: DataFrame, labels) -> DataFrame:
 def meeting(lists: DataFrame, labels):
     """(entries of lists in which classes meet, their number, pairs across classes)."""
     at = with_class(lists, labels).select("key", "n", "comp", F.explode("places").alias("e")).select(
-        "e.x", "key", "n", "e.most", "e.hot", "comp")
+        "e.x", "key", "n", "e.most", "e.m", "e.hot", "comp")
     # early entries e meet early and late entries l: pairs of a list, less those inside classes
     one = F.col("most") >= F.col("n")
     per = at.groupBy("x", "comp").agg(F.count_if(one).cast("double").alias("e"), F.count_if(~one).cast("double").alias("l"))
@@ -336,7 +344,7 @@ def fits():
 def met(pairs: DataFrame) -> DataFrame:
     """(u, v, c) of the pairs that share enough entries."""
     return (pairs.groupBy(F.col("p.key").alias("u"), F.col("q.key").alias("v"))
-            .agg(F.count(F.lit(1)).alias("c"), F.first("p.n").alias("n"), F.first("q.n").alias("m"))
+            .agg(F.sum("w").alias("c"), F.first("p.n").alias("n"), F.first("q.n").alias("m"))
             .filter(F.col("c") >= needed(F.col("n"), F.col("m"))).select("u", "v", "c"))
 
 
@@ -355,12 +363,15 @@ def pivot_pairs(at: DataFrame) -> DataFrame:
     hot = hot.join(hot.groupBy("x").agg(*[pivot(i).alias(q) for i, q in enumerate(names)]).hint("merge"), "x")
     own = F.filter(F.array_distinct(F.array(*names)), lambda q: (q["comp"] != F.col("comp")) & (q["n"] <= F.col("most"))
                    & (F.col("n") <= q["most"]))
-    d = cold.unionByName(hot).select("key", "n", F.transform(own, lambda q: F.struct(q["key"].alias("key"), q["n"].alias("n"))).alias("qs"))
+    d = cold.unionByName(hot).select("key", "n", F.transform(own, lambda q: F.struct(
+        q["key"].alias("key"), q["n"].alias("n"), F.col("m").alias("m"))).alias("qs"))
     # a set has as many rows as places, so its pivots are counted inside its own row
     d = d.groupBy("key", "n").agg(F.flatten(F.collect_list("qs")).alias("qs"))
-    counted = F.transform(F.array_distinct("qs"), lambda q: F.struct(
-        F.size(F.filter("qs", lambda x: x["key"] == q["key"])).alias("c"), q["key"].alias("v"), q["n"].alias("m")))
-    top = F.slice(F.sort_array(F.filter(counted, lambda q: q["c"] >= needed(F.col("n"), q["m"])), False), 1, PIVOTS)
+    names = F.array_distinct(F.transform("qs", lambda q: F.struct(q["key"].alias("key"), q["n"].alias("n"))))
+    counted = F.transform(names, lambda q: F.struct(
+        F.aggregate(F.filter("qs", lambda x: x["key"] == q["key"]), F.lit(0).cast("bigint"), lambda c, x: c + x["m"]).alias("c"),
+        q["key"].alias("v"), q["n"].alias("size")))
+    top = F.slice(F.sort_array(F.filter(counted, lambda q: q["c"] >= needed(F.col("n"), q["size"])), False), 1, PIVOTS)
     d = d.select(F.col("key").alias("u"), F.explode(top).alias("q"))
     return d.select(F.least("u", "q.v").alias("u"), F.greatest("u", "q.v").alias("v")).distinct()
 
@@ -371,7 +382,7 @@ def cross_pairs(at: DataFrame) -> DataFrame:
     late = F.col("q.most") < F.col("q.n")
     d = early.join(other, F.col("p.x") == F.col("q.x")).filter(
         (late | (F.col("p.key") < F.col("q.key"))) & (F.col("p.comp") != F.col("q.comp"))).filter(fits())
-    d = d.select(*[F.when(F.col("p.key") < F.col("q.key"), F.struct("p.key", "p.n")).otherwise(F.struct("q.key", "q.n")).alias("p"),
+    d = d.select(F.col("p.m").alias("w"), *[F.when(F.col("p.key") < F.col("q.key"), F.struct("p.key", "p.n")).otherwise(F.struct("q.key", "q.n")).alias("p"),
                    F.when(F.col("p.key") < F.col("q.key"), F.struct("q.key", "q.n")).otherwise(F.struct("p.key", "p.n")).alias("q")])
     return met(d).select("u", "v")
 
