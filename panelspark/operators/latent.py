@@ -4,61 +4,82 @@ Classes are fitted together: the covariance of a class is one grouped aggregate,
 and only its p x p table reaches the eigen-solver.
 """
 
-import itertools
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.windows import KEY, ORDER, ordered
 from ..sources.store import checkpointed
+from . import gram
 from .regimes import small
 
 CLS = "asset_class"
 
 
 def medians(train: DataFrame, cols) -> DataFrame:
-    """Exact train median per class and column; all-NULL -> 0."""
-    return train.groupBy(CLS).agg(*[F.coalesce(F.percentile(c, F.lit(0.5)), F.lit(0.0))
-                                    .alias(f"{c}_med") for c in cols])
-
+    """Exact train median per class and column; all-NULL -> 0.
 
-def impute_scale(df: DataFrame, train: DataFrame, cols):
-    """Fit medians and moments on ``train``; return (scaled df, scaler table)."""
+    No buffer holds a column: a quantile sketch brackets the middle (its rank error is
+    n / 10,000, the bracket twice as wide), values below the bracket are counted, and only
+    those inside it are ordered.
+    """
+    long = train.select(CLS, *cols).unpivot(CLS, list(cols), "col", "v").filter("v IS NOT NULL")
+    on = [CLS, "col"]
+    cuts = long.groupBy(*on).agg(F.count("*").alias("n"), F.percentile_approx(
+        "v", F.array(F.lit(0.4997), F.lit(0.5003)), F.lit(10_000)).alias("cut"))
+    marked = long.join(cuts, on)
+    values = marked.groupBy(*on, F.when(F.col("v") < F.col("cut")[0], None).when(F.col("v") <= F.col("cut")[1], F.col("v"))
+                            .otherwise(F.lit(float("inf"))).alias("v")).agg(F.count("*").alias("k"), F.first("n").alias("n"))
+    # the values below the bracket are one NULL row that comes first
+    upto = F.sum("k").over(Window.partitionBy(*on).orderBy(F.col("v").asc_nulls_first()))
+    ranked = values.withColumn("upto", upto)
+
+    def at(rank):
+        return F.min(F.when(F.col("upto") > rank, F.col("v")))
+
+    middle = ranked.groupBy(*on).agg(at(F.floor((F.col("n") - 1) / 2)).alias("lo"), at(F.ceil((F.col("n") - 1) / 2)).alias("hi"))
+    wide = middle.groupBy(CLS).pivot("col", list(cols)).agg(F.first((F.col("lo") + F.col("hi")) / 2))
+    wide = train.select(CLS).distinct().join(wide, CLS, "left")
+    return wide.select(CLS, *[F.coalesce(F.col(c), F.lit(0.0)).alias(f"{c}_med") for c in cols])
+
+
+def fit_scale(train: DataFrame, cols) -> DataFrame:
+    """One row per class: the train median of every column, and mean and sd after filling."""
     med = checkpointed(medians(train, cols))
-    n = med.count()
-
-    def filled(x):
-        x = x.join(small(med, n), CLS)
-        return x.withColumns({c: F.coalesce(F.col(c), F.col(f"{c}_med")) for c in cols}).drop(
-            *[f"{c}_med" for c in cols])
-
     aggs = []
     for c in cols:
         aggs += [F.avg(c).alias(f"{c}_m"),
                  F.when(F.stddev_pop(c) > 0, F.stddev_pop(c)).otherwise(1.0).alias(f"{c}_s")]
-    sc = checkpointed(filled(train).groupBy(CLS).agg(*aggs))
+    return checkpointed(med.join(filled(train, med, cols).groupBy(CLS).agg(*aggs), CLS))
 
-    def scale(x):
-        x = filled(x).join(small(sc, n), CLS)
-        z = F.array(*[(F.col(c) - F.col(f"{c}_m")) / F.col(f"{c}_s") for c in cols])
-        return x.withColumn("z", z).select(KEY, CLS, ORDER, "z")
 
-    return scale(df), scale(train)
+def filled(x: DataFrame, table: DataFrame, cols) -> DataFrame:
+    x = x.join(small(table, table.count()), CLS)
+    return x.withColumns({c: F.coalesce(F.col(c), F.col(f"{c}_med")) for c in cols}).drop(*[f"{c}_med" for c in cols])
+
+
+def apply_scale(x: DataFrame, table: DataFrame, cols) -> DataFrame:
+    """(instrument, class, date, z): filled and scaled columns as one array."""
+    x = filled(x, table, cols)
+    return x.select(KEY, CLS, ORDER, F.array(*[(F.col(c) - F.col(f"{c}_m")) / F.col(f"{c}_s") for c in cols]).alias("z"))
+
+
+def impute_scale(df: DataFrame, train: DataFrame, cols):
+    """Fit medians and moments on ``train``; return (scaled df, scaled train)."""
+    table = fit_scale(train, cols)
+    return apply_scale(df, table, cols), apply_scale(train, table, cols)
 
 
 def principal_axes(ztrain: DataFrame, p: int, k: int) -> DataFrame:
-    """K6 fit: (class, loadings) with loadings an array of k axes of length p."""
-    pairs = list(itertools.combinations_with_replacement(range(p), 2))
-    cov = ztrain.groupBy(CLS).agg(F.array(*[
-        F.avg(F.col("z")[i] * F.col("z")[j]) - F.avg(F.col("z")[i]) * F.avg(F.col("z")[j])
-        for i, j in pairs]).alias("c"))
+    """K6 fit: (class, axes, variance) with axes an array of k axes of length p."""
+    names = [f"z{i}" for i in range(p)]
+    cov = gram.covariance(ztrain.select(CLS, *[F.col("z")[i].alias(n) for i, n in enumerate(names)]), names, CLS)
 
     def eig(pdf: pd.DataFrame) -> pd.DataFrame:
         """One row in, one row out: the p x p table of one class."""
         m = np.zeros((p, p))
-        for (i, j), v in zip(pairs, pdf["c"].iloc[0]):
-            m[i, j] = m[j, i] = v
+        i, j = np.triu_indices(p)
+        m[i, j] = m[j, i] = pdf["c"].iloc[0]
         val, vec = np.linalg.eigh(m)
         order = np.argsort(val)[::-1][:k]
         axes = vec[:, order].T
@@ -74,16 +95,21 @@ def dot(a, b):
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def latent_components(df: DataFrame, train: DataFrame, cols, k=4) -> DataFrame:
+def fit_components(train: DataFrame, cols, k=4) -> DataFrame:
+    """K6: one row per class: the scale table with the axes of the train rows."""
+    table = fit_scale(train, cols)
+    return table.join(principal_axes(apply_scale(train, table, cols), len(cols), k), CLS)
+
+
+def apply_components(df: DataFrame, table: DataFrame, cols, k=4) -> DataFrame:
     """K6/K8: frozen component scores and the row's mean squared reconstruction error.
 
     The axes are orthonormal, so the error is (|z|^2 - |scores|^2) / p.
     """
-    z, zt = impute_scale(df, train, cols)
-    axes = checkpointed(principal_axes(zt, len(cols), k))
-    out = z.join(small(axes, axes.count()), CLS)
-    pcs = [dot(F.col("z"), F.col("axes")[j]) for j in range(k)]
-    out = out.withColumns({f"f4_pc{j + 1}": pcs[j] for j in range(k)})
+    n = table.count()
+    z = apply_scale(df, table.drop("axes", "variance"), cols)
+    out = z.join(small(table.select(CLS, "axes"), n), CLS)
+    out = out.withColumns({f"f4_pc{j + 1}": dot(F.col("z"), F.col("axes")[j]) for j in range(k)})
     err = dot(F.col("z"), F.col("z"))
     for j in range(k):
         err = err - F.col(f"f4_pc{j + 1}") * F.col(f"f4_pc{j + 1}")
@@ -91,6 +117,11 @@ def latent_components(df: DataFrame, train: DataFrame, cols, k=4) -> DataFrame:
                       (F.greatest(err, F.lit(0.0)) / len(cols)).alias("f4_recon_error"))
 
 
+def latent_components(df: DataFrame, train: DataFrame, cols, k=4) -> DataFrame:
+    """K6/K8 fitted and applied at once."""
+    return apply_components(df, checkpointed(fit_components(train, cols, k)), cols, k)
+
+
 def reconstruction_mse(scored: DataFrame, train_end) -> DataFrame:
     """K8: mean reconstruction error of the train rows per class."""
     return (scored.filter(F.col(ORDER) <= train_end).groupBy(CLS)
@@ -134,6 +165,58 @@ def cluster_ids(df: DataFrame, train: DataFrame, cols, k=4, rounds=8) -> DataFra
                       F.sqrt("_n.d").alias("f4_cluster_dist"))
 
 
+def fit_clusters(train: DataFrame, cols, k=4, starts=10, max_rounds=100) -> DataFrame:
+    """K7: one row per class: the scale table and the best of ``starts`` converged centre sets.
+
+    All starts of all classes run in the same jobs. Seeds are drawn one after another with
+    probability in proportion to the squared distance to the seeds so far, by an exponential
+    race of hashed draws; Lloyd rounds then go on for the starts whose centres still move.
+    """
+    table = fit_scale(train, cols)
+    z = checkpointed(apply_scale(train, table, cols))
+    p, on = len(cols), [CLS, "start"]
+    rows = z.withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(starts - 1))))
+
+    def race(step, weight):
+        u = (F.pmod(F.xxhash64(KEY, ORDER, "start", F.lit(step)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+        return F.when(weight > 0, -F.ln(u) / weight).otherwise(F.lit(1e300)) + F.lit(0.0)
+
+    seeds = checkpointed(rows.groupBy(*on).agg(F.array(F.min_by("z", F.struct(race(0, F.lit(1.0)), KEY, ORDER))).alias("cs")))
+    n = seeds.count()
+    for step in range(1, k):
+        near = rows.join(small(seeds, n), on)
+        seeds = checkpointed(near.groupBy(*on).agg(F.array_append(F.first("cs"), F.min_by("z", F.struct(
+            race(step, nearest(F.col("z"), F.col("cs"))["d"]), KEY, ORDER))).alias("cs")))
+    active, done = seeds, None
+    for _ in range(max_rounds):
+        hit = rows.join(small(active, n), on).withColumn("_n", nearest(F.col("z"), F.col("cs")))
+        part = hit.groupBy(*on, F.col("_n.i").alias("i")).agg(
+            F.sum("_n.d").alias("d"), F.array(*[F.avg(F.col("z")[j]) for j in range(p)]).alias("c"))
+        old = active.select(*on, F.posexplode("cs").alias("i", "oc")).join(part, on + ["i"], "left")
+        moved = F.greatest(*[F.abs(F.col("c")[j] - F.col("oc")[j]) for j in range(p)]) if p > 1 else F.abs(F.col("c")[0] - F.col("oc")[0])
+        new = checkpointed(old.groupBy(*on).agg(
+            F.transform(F.array_sort(F.collect_list(F.struct("i", F.coalesce("c", "oc").alias("c")))), lambda s: s["c"]).alias("cs"),
+            F.sum("d").alias("inertia"), F.max(F.coalesce(moved, F.lit(0.0))).alias("moved")))
+        still = new.filter("moved > 1e-9").select(*on, "cs")
+        rest = new.filter("moved <= 1e-9")
+        done = rest if done is None else done.unionByName(rest)
+        active = still
+        if still.isEmpty():
+            break
+    else:
+        done = done.unionByName(new.filter("moved > 1e-9"))
+    best = done.groupBy(CLS).agg(F.min_by("cs", F.struct("inertia", "start")).alias("cs"), F.min("inertia").alias("inertia"))
+    # centres are numbered by their first coordinate
+    return table.join(best.select(CLS, F.array_sort("cs").alias("cs"), "inertia"), CLS)
+
+
+def apply_clusters(df: DataFrame, table: DataFrame, cols) -> DataFrame:
+    """Frozen cluster id and distance."""
+    z = apply_scale(df, table.drop("cs", "inertia"), cols)
+    out = z.join(small(table.select(CLS, "cs"), table.count()), CLS).withColumn("_n", nearest(F.col("z"), F.col("cs")))
+    return out.select(KEY, ORDER, F.col("_n.i").alias("f4_cluster_id"), F.sqrt("_n.d").alias("f4_cluster_dist"))
+
+
 # ---- drift ------------------------------------------------------------------------
 
 def drift_score(df: DataFrame, cols, train_end, window=63, refit_every=21, min_recent=20) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions.numeric import ANNUAL
 from ..functions.windows import KEY, ORDER, log_return, ordered, rsd, running, whole
 from ..sources.store import checkpointed
+from . import em
 
 REG = 1e-6
 BROADCAST_ROWS = 100_000
@@ -231,6 +232,11 @@ def markov_regime(panel: DataFrame, train_end, min_rows=30, rounds=8) -> DataFra
     obs = checkpointed(obs.join(keep.select(KEY), KEY, "left_semi"))
     train = obs.filter(F.col(ORDER) <= train_end)
     filt, _ = filtered_states(obs, train, ("ret",), 2, F.abs("x0"), lambda j: F.col(f"c{j}_00"), rounds)
+    return dwell(filt)
+
+
+def dwell(filt: DataFrame) -> DataFrame:
+    """Probability of the second state, its absolute change, and rows since the state changed."""
     w = ordered()
     p = filt.select(KEY, ORDER, F.col("f1").alias("f3_markov_prob_highvol"))
     state = (F.round("f3_markov_prob_highvol", 9) >= 0.5).cast("int")
@@ -257,10 +263,14 @@ def hmm_states(panel: DataFrame, train_end, min_rows=200, rounds=8):
     train = obs.filter(F.col(ORDER) <= train_end)
     filt, trans = filtered_states(obs, train, ("ret", "vol"), 3, F.col("x1"),
                                   lambda j: F.col(f"m{j}_1"), rounds)
+    return named_states(filt), trans
+
+
+def named_states(filt: DataFrame) -> DataFrame:
     f = [F.round(f"f{j}", 9) for j in range(3)]
     arg = F.when((f[0] >= f[1]) & (f[0] >= f[2]), 0.0).when(f[1] >= f[2], 1.0).otherwise(2.0)
     return filt.select(KEY, ORDER, *[F.col(f"f{j}").alias(n) for j, n in enumerate(HMM_NAMES)],
-                       arg.alias("f17_hmm_state_argmax")), trans
+                       arg.alias("f17_hmm_state_argmax"))
 
 
 def next_state(panel: DataFrame, train_end, rounds=8) -> DataFrame:
@@ -272,3 +282,126 @@ def next_state(panel: DataFrame, train_end, rounds=8) -> DataFrame:
     nxt = [sum((F.col(HMM_NAMES[i]) * F.col("A")[i][j] for i in range(1, 3)),
                F.col(HMM_NAMES[0]) * F.col("A")[0][j]) for j in range(3)]
     return df.select(KEY, ORDER, *[nxt[j].alias(f"next_{n}") for j, n in enumerate(("lo", "mid", "hi"))])
+
+
+# ---- fits to a tolerance, as tables that are applied frozen ---------------------------
+
+def parameter_names(k: int, d: int):
+    return [f"w{j}" for j in range(k)] + [f"m{j}_{a}" for j in range(k) for a in range(d)] + [
+        f"c{j}_{a}{b}" for j in range(k) for a, b in cov_pairs(d)]
+
+
+def fit_table(train: DataFrame, cols, k: int, by, chain: bool, min_rows: int, tol=em.TOL, max_rounds=em.MAX_ROUNDS) -> DataFrame:
+    """One row per key: train scaler, parameters, log likelihood and rounds; with ``chain`` pi and A.
+
+    Every key is fitted to the tolerance by itself. States are numbered by ascending
+    ``by(means, covariances)``; keys with fewer than ``min_rows`` train rows have no row.
+    """
+    import numpy as np
+    import pandas as pd
+    d, names = len(cols), parameter_names(k, len(cols))
+    scaler = frozen_scaler(train, cols).filter(F.col("n_train") >= min_rows)
+    xs = scaled(train, scaler, cols).select(KEY, ORDER, *[f"x{i}" for i in range(d)])
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.sort_values(ORDER)[[f"x{i}" for i in range(d)]].to_numpy()
+        start = em.quantile_groups(np.abs(x[:, 0]) if d == 1 else x[:, -1], k)
+        pi, a = np.full(k, 1.0 / k), np.full((k, k), 1.0 / k)
+        if chain:
+            pi, a, w, mean, cov, ll, rounds = em.hidden_chain(x, start, tol, max_rounds)
+        else:
+            w, mean, cov, ll, rounds = em.mixture(x, start, tol, max_rounds)
+        o = np.argsort(by(mean, cov), kind="stable")
+        w, mean, cov, pi, a = w[o], mean[o], cov[o], pi[o], a[np.ix_(o, o)]
+        values = [*w, *mean.ravel(), *[cov[j, i, m] for j in range(k) for i, m in cov_pairs(d)]]
+        return pd.DataFrame([[pdf[KEY].iloc[0], *values, pi.tolist(), a.tolist(), ll, rounds]],
+                            columns=[KEY, *names, "pi", "A", "loglik", "rounds"])
+
+    fitted = xs.groupBy(KEY).applyInPandas(fit, f"{KEY} string, " + ", ".join(f"{n} double" for n in names)
+                                           + ", pi array<double>, A array<array<double>>, loglik double, rounds int")
+    return scaler.join(fitted, KEY)
+
+
+def filtered_by(obs: DataFrame, table: DataFrame, cols, k: int) -> DataFrame:
+    """Forward-filtered state probabilities f0..f(k-1) of all rows under frozen tables."""
+    d = len(cols)
+    df = scaled(obs, table, cols)
+    e = F.array(*[density(j, d) / F.col(f"w{j}") for j in range(k)])
+    df = df.withColumns({"e": e, "pos": F.row_number().over(ordered())})
+    return forward_filter(df.select(KEY, ORDER, "pos", "e", "pi", "A"), k)
+
+
+RET_VOL, RET = ("ret", "vol"), ("ret",)
+
+
+def fit_gmm(panel: DataFrame, train_end, min_rows=30, **more) -> DataFrame:
+    """K3: two components on (ret, vol), the second of higher volatility."""
+    obs = ret_vol(panel).filter(F.col(ORDER) <= train_end)
+    return fit_table(obs, RET_VOL, 2, lambda mean, cov: mean[:, 1], False, min_rows, **more).drop("pi", "A")
+
+
+def apply_gmm(panel: DataFrame, table: DataFrame) -> DataFrame:
+    obs = ret_vol(panel)
+    x = scaled(obs, table, RET_VOL).withColumns({f"p{j}": density(j, 2) for j in range(2)})
+    post = x.select(KEY, ORDER, (F.col("p1") / (F.col("p0") + F.col("p1") + 1e-300)).alias("f3_gmm_prob_highvol"))
+    return obs.select(KEY, ORDER).join(post, [KEY, ORDER], "left")
+
+
+def fit_markov(panel: DataFrame, train_end, min_rows=30, **more) -> DataFrame:
+    """K4: two states of the return, the second of higher variance."""
+    obs = ret_vol(panel).filter(F.col(ORDER) <= train_end)
+    return fit_table(obs, RET, 2, lambda mean, cov: cov[:, 0, 0], True, min_rows, **more)
+
+
+def apply_markov(panel: DataFrame, table: DataFrame) -> DataFrame:
+    return dwell(filtered_by(ret_vol(panel), table, RET, 2))
+
+
+def fit_hmm(panel: DataFrame, train_end, min_rows=200, **more) -> DataFrame:
+    """K5: three states on (ret, vol) by ascending mean volatility."""
+    obs = ret_vol(panel).filter(F.col(ORDER) <= train_end)
+    return fit_table(obs, RET_VOL, 3, lambda mean, cov: mean[:, 1], True, min_rows, **more)
+
+
+def apply_hmm(panel: DataFrame, table: DataFrame) -> DataFrame:
+    return named_states(filtered_by(ret_vol(panel), table, RET_VOL, 3))
+
+
+def next_observation(panel: DataFrame, table: DataFrame) -> DataFrame:
+    """M9: distribution of the next state (last filtered one times A) and of the next observation.
+
+    The emission table O holds, per state, the probabilities of a return below, inside and
+    above one train standard deviation; the distribution of the observation is the next
+    state's times O. The expected next return and volatility are the states' means, unscaled.
+    """
+    last = apply_hmm(panel, table).groupBy(KEY).agg(*[F.max_by(n, ORDER).alias(n) for n in HMM_NAMES], F.max(ORDER).alias(ORDER))
+    df = last.join(table, KEY)
+    nxt = [sum((F.col(HMM_NAMES[i]) * F.col("A")[i][j] for i in range(1, 3)), F.col(HMM_NAMES[0]) * F.col("A")[0][j])
+           for j in range(3)]
+    df = df.withColumns({f"next_{n}": nxt[j] for j, n in enumerate(("lo", "mid", "hi"))})
+    state = [F.col(f"next_{n}") for n in ("lo", "mid", "hi")]
+
+    def below(j, at):
+        """Normal distribution function of the scaled return in state j."""
+        return normal_cdf((F.lit(at) - F.col(f"m{j}_0")) / F.sqrt(F.col(f"c{j}_00")))
+
+    emission = [(below(j, -1.0), below(j, 1.0) - below(j, -1.0), 1.0 - below(j, 1.0)) for j in range(3)]
+
+    def mixed(values):
+        return sum((s * v for s, v in zip(state[1:], values[1:])), state[0] * values[0])
+
+    return df.select(
+        KEY, ORDER, *[f"next_{n}" for n in ("lo", "mid", "hi")],
+        *[mixed([emission[j][o] for j in range(3)]).alias(f"next_obs_{n}") for o, n in enumerate(("down", "flat", "up"))],
+        (mixed([F.col(f"m{j}_0") for j in range(3)]) * F.col("ret_s") + F.col("ret_m")).alias("next_ret"),
+        (mixed([F.col(f"m{j}_1") for j in range(3)]) * F.col("vol_s") + F.col("vol_m")).alias("next_vol"))
+
+
+def normal_cdf(z):
+    """Abramowitz and Stegun 26.2.17, absolute error below 7.5e-8."""
+    # The approximation's coefficients.
+    coefs = (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
+    t = 1.0 / (1.0 + 0.2316419 * F.abs(z))
+    poly = sum((F.lit(c) * F.pow(t, F.lit(float(i))) for i, c in enumerate(coefs[1:], 2)), F.lit(coefs[0]) * t)
+    tail = F.exp(-0.5 * z * z) / math.sqrt(2.0 * math.pi) * poly
+    return F.when(z >= 0, 1.0 - tail).otherwise(tail)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions.joins import with_scalars
 from ..functions.windows import KEY, ORDER, log_return, ordered
 from ..sources.store import checkpointed
+from . import gram
 
 
 def inventory(panel: DataFrame) -> DataFrame:
@@ -38,21 +39,11 @@ def return_moments(panel: DataFrame) -> DataFrame:
 def column_corr(df: DataFrame, cols, min_periods=252, method="pearson") -> DataFrame:
     """Pairwise-complete correlation of columns, (a, b, corr, n_pairs).
 
-    One pass: each pair is one aggregate of the same scan, and the buffers are
-    combined on the map side. The number of pairs follows the schema, not data.
+    All pairs come from masked Gram matrices of one scan, at any number of columns.
     """
-    pairs = list(itertools.combinations(range(len(cols)), 2))
     if method == "spearman":
         df = average_ranks(df, cols)
-    aggs = []
-    for i, j in pairs:
-        x, y = F.col(cols[i]), F.col(cols[j])
-        both = x.isNotNull() & y.isNotNull()
-        a, b = F.when(both, x), F.when(both, y)
-        ok = (F.count(a) >= min_periods) & (F.stddev_pop(a) > 1e-12) & (F.stddev_pop(b) > 1e-12)
-        aggs.append(F.struct(F.lit(cols[i]).alias("a"), F.lit(cols[j]).alias("b"),
-                             F.when(ok, F.corr(a, b)).alias("corr"), F.count(a).alias("n_pairs")))
-    return df.agg(F.array(*aggs).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+    return gram.correlation(df, cols, min_periods)
 
 
 def average_ranks(df: DataFrame, cols) -> DataFrame:

@@ -131,3 +131,74 @@ SELECT la.instrument, la.date, {r('f0*a00 + f1*a10 + f2*a20', 5, 'next_lo')}, {r
   {r('f0*a02 + f1*a12 + f2*a22', 5, 'next_hi')} FROM la JOIN ta USING (instrument) WHERE k = 1""")
 def hmm_next_state(spark, sf):
     return rounded(G.next_state(panel(spark, sf), end(), ROUNDS), 5)
+
+
+# ---- fits to the tolerance --------------------------------------------------------------
+
+TOL, MAX_ROUNDS = 1e-6, 500
+
+
+def em_to_tolerance_sql(min_rows=30):
+    """The two-component fit on (ret, vol) as a recursion over rounds; a key stops by itself."""
+    cols, k, d = ("ret", "vol"), 2, 2
+    em, gamma, _ = em_sql(cols, k, "x1", "m{}_1", min_rows)
+    start = em[:em.index(", q1 AS MATERIALIZED")]
+    names = [f"w{j}" for j in range(k)] + [f"m{j}_{a}" for j in range(k) for a in range(d)] + [
+        f"c{j}_{a}{b}" for j in range(k) for a, b in G.cov_pairs(d)]
+    step = {}
+    for j in range(k):
+        s = f"(sum(g{j}) + 1e-12)"
+        step[f"w{j}"] = f"{s} / count(*)"
+        step |= {f"m{j}_{a}": f"sum(g{j}*x{a}) / {s}" for a in range(d)}
+        step |= {f"c{j}_{a}{b}": f"sum(g{j}*x{a}*x{b}) / {s} - (sum(g{j}*x{a})/{s})*(sum(g{j}*x{b})/{s})"
+                 + (" + 1e-6" if a == b else "") for a, b in G.cov_pairs(d)}
+    det = "(e.c{0}_00*e.c{0}_11 - e.c{0}_01**2)"
+    dens = ("e.w{0} / (sqrt(" + det + ") * 2*pi()) * exp(-0.5 * (e.c{0}_11*(x0-e.m{0}_0)**2 - 2*e.c{0}_01*(x0-e.m{0}_0)*(x1-e.m{0}_1)"
+            " + e.c{0}_00*(x1-e.m{0}_1)**2) / " + det + ") AS p{0}")
+    body = (f"SELECT t.instrument, e.i, e.ll, x0, x1, {', '.join(dens.format(j) for j in range(k))} "
+            "FROM em e JOIN tr t USING (instrument) WHERE NOT e.done")
+    return f"""{start}, em AS (SELECT instrument, 0 AS i, {', '.join(names)}, CAST('-inf' AS DOUBLE) AS ll, false AS done FROM q0
+  UNION ALL SELECT instrument, i + 1, {', '.join(step[n] for n in names)}, avg(ln(p0 + p1)),
+    abs(avg(ln(p0 + p1)) - any_value(ll)) < {TOL} OR i + 1 >= {MAX_ROUNDS}
+    FROM (SELECT *, p0 / (p0 + p1) AS g0, p1 / (p0 + p1) AS g1 FROM ({body})) GROUP BY instrument, i),
+un AS (SELECT instrument, m0_1 AS o, 0 AS j, w0 AS f0, m0_0 AS f1, m0_1 AS f2, c0_00 AS f3, c0_01 AS f4, c0_11 AS f5, i, ll FROM em WHERE done
+  UNION ALL SELECT instrument, m1_1, 1, w1, m1_0, m1_1, c1_00, c1_01, c1_11, i, ll FROM em WHERE done),
+rk AS (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY o, j) - 1 AS rk FROM un),
+pq AS MATERIALIZED (SELECT instrument, any_value(i) AS rounds, any_value(ll) AS loglik, {', '.join(
+        f"max(f{i}) FILTER (rk = {j}) AS {n.format(j)}" for j in range(k)
+        for i, n in enumerate(("w{}", "m{}_0", "m{}_1", "c{}_00", "c{}_01", "c{}_11")))} FROM rk GROUP BY 1)""", gamma
+
+
+EMT, gamt = em_to_tolerance_sql()
+
+
+@query("f3_gmm_fitted", "K3 K2", f"""WITH RECURSIVE {PANEL}, {RV}, {EMT}, ga AS ({gamt('xa', 'pq')})
+SELECT rv.instrument, rv.date, {r('ga.g1', 4, 'f3_gmm_prob_highvol')} FROM rv LEFT JOIN ga USING (instrument, date)""")
+def f3_gmm_fitted(spark, sf):
+    p = panel(spark, sf)
+    return rounded(G.apply_gmm(p, G.fit_gmm(p, end(), tol=TOL, max_rounds=MAX_ROUNDS)), 4)
+
+
+@query("gmm_parameters", "K3 K1", f"""WITH RECURSIVE {PANEL}, {RV}, {EMT}
+SELECT instrument, sc.n AS n_train, {', '.join(r(c, 3) for c in ('w0', 'w1', 'm0_0', 'm0_1', 'm1_0', 'm1_1', 'loglik'))} FROM pq JOIN sc USING (instrument)""")
+def gmm_parameters(spark, sf):
+    t = G.fit_gmm(panel(spark, sf), end(), tol=TOL, max_rounds=MAX_ROUNDS)
+    return rounded(t.select("instrument", "n_train", "w0", "w1", "m0_0", "m0_1", "m1_0", "m1_1", "loglik"), 3)
+
+
+@query("f3_markov_fitted", "K4")
+def f3_markov_fitted(spark, sf):
+    p = panel(spark, sf)
+    return rounded(G.apply_markov(p, G.fit_markov(p, end())), 5)
+
+
+@query("f17_hmm_fitted", "K5")
+def f17_hmm_fitted(spark, sf):
+    p = panel(spark, sf)
+    return rounded(G.apply_hmm(p, G.fit_hmm(p, end())), 5)
+
+
+@query("hmm_next_observation", "M9")
+def hmm_next_observation(spark, sf):
+    p = panel(spark, sf)
+    return rounded(G.next_observation(p, G.fit_hmm(p, end())), 5)
