@@ -168,46 +168,104 @@ def cluster_ids(df: DataFrame, train: DataFrame, cols, k=4, rounds=8) -> DataFra
 def fit_clusters(train: DataFrame, cols, k=4, starts=10, max_rounds=100) -> DataFrame:
     """K7: one row per class: the scale table and the best of ``starts`` converged centre sets.
 
-    All starts of all classes run in the same jobs. Seeds are drawn one after another with
+    All starts of all classes share the scans. Seeds are drawn one after another with
     probability in proportion to the squared distance to the seeds so far, by an exponential
-    race of hashed draws; Lloyd rounds then go on for the starts whose centres still move.
+    race of hashed draws; Lloyd rounds go on for the starts whose centres still move. A task
+    compares its batches with all centres by matrix products and emits sums; the driver
+    holds classes * starts * k centres and no rows.
     """
+    spark, p = train.sparkSession, len(cols)
     table = fit_scale(train, cols)
-    z = checkpointed(apply_scale(train, table, cols))
-    p, on = len(cols), [CLS, "start"]
-    rows = z.withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(starts - 1))))
-
-    def race(step, weight):
-        u = (F.pmod(F.xxhash64(KEY, ORDER, "start", F.lit(step)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-        return F.when(weight > 0, -F.ln(u) / weight).otherwise(F.lit(1e300)) + F.lit(0.0)
-
-    seeds = checkpointed(rows.groupBy(*on).agg(F.array(F.min_by("z", F.struct(race(0, F.lit(1.0)), KEY, ORDER))).alias("cs")))
-    n = seeds.count()
-    for step in range(1, k):
-        near = rows.join(small(seeds, n), on)
-        seeds = checkpointed(near.groupBy(*on).agg(F.array_append(F.first("cs"), F.min_by("z", F.struct(
-            race(step, nearest(F.col("z"), F.col("cs"))["d"]), KEY, ORDER))).alias("cs")))
-    active, done = seeds, None
+    z = checkpointed(apply_scale(train, table, cols).select(CLS, F.xxhash64(KEY, ORDER).alias("h"), "z"))
+    classes = [r[0] for r in table.select(CLS).collect()]
+    centres = {c: np.empty((starts, 0, p)) for c in classes}
+    for step in range(k):
+        shared = spark.sparkContext.broadcast(centres)
+        won = z.mapInArrow(lambda bs: seed_races(bs, shared.value, step, starts), f"{CLS} string, start int, race double, z array<double>")
+        centres = {c: np.concatenate([x, np.zeros((starts, 1, p))], axis=1) for c, x in centres.items()}
+        for r in won.groupBy(CLS, "start").agg(F.min(F.struct("race", "z")).alias("w")).collect():
+            centres[r[CLS]][r["start"], -1] = r["w"]["z"]
+    inertia = {c: np.full(starts, np.inf) for c in classes}
+    active = {c: np.arange(starts) for c in classes}
     for _ in range(max_rounds):
-        hit = rows.join(small(active, n), on).withColumn("_n", nearest(F.col("z"), F.col("cs")))
-        part = hit.groupBy(*on, F.col("_n.i").alias("i")).agg(
-            F.sum("_n.d").alias("d"), F.array(*[F.avg(F.col("z")[j]) for j in range(p)]).alias("c"))
-        old = active.select(*on, F.posexplode("cs").alias("i", "oc")).join(part, on + ["i"], "left")
-        moved = F.greatest(*[F.abs(F.col("c")[j] - F.col("oc")[j]) for j in range(p)]) if p > 1 else F.abs(F.col("c")[0] - F.col("oc")[0])
-        new = checkpointed(old.groupBy(*on).agg(
-            F.transform(F.array_sort(F.collect_list(F.struct("i", F.coalesce("c", "oc").alias("c")))), lambda s: s["c"]).alias("cs"),
-            F.sum("d").alias("inertia"), F.max(F.coalesce(moved, F.lit(0.0))).alias("moved")))
-        still = new.filter("moved > 1e-9").select(*on, "cs")
-        rest = new.filter("moved <= 1e-9")
-        done = rest if done is None else done.unionByName(rest)
-        active = still
-        if still.isEmpty():
+        shared = spark.sparkContext.broadcast({c: (a, centres[c][a]) for c, a in active.items() if len(a)})
+        sums = z.mapInArrow(lambda bs: lloyd_sums(bs, shared.value), f"{CLS} string, start int, i int, j int, v double")
+        new = {c: np.zeros((starts, k, p + 2)) for c in classes}
+        for r in sums.groupBy(CLS, "start", "i", "j").agg(F.sum("v").alias("v")).collect():
+            new[r[CLS]][r["start"], r["i"], r["j"]] = r["v"]
+        for c, a in active.items():
+            n = new[c][a, :, p]
+            moved = np.where(n[..., None] > 0, new[c][a, :, :p] / np.maximum(n, 1)[..., None], centres[c][a])
+            still = np.abs(moved - centres[c][a]).max(axis=(1, 2), initial=0.0) > 1e-9
+            inertia[c][a] = new[c][a, :, p + 1].sum(axis=1)
+            centres[c][a] = moved
+            active[c] = a[still]
+        if not any(len(a) for a in active.values()):
             break
-    else:
-        done = done.unionByName(new.filter("moved > 1e-9"))
-    best = done.groupBy(CLS).agg(F.min_by("cs", F.struct("inertia", "start")).alias("cs"), F.min("inertia").alias("inertia"))
-    # centres are numbered by their first coordinate
-    return table.join(best.select(CLS, F.array_sort("cs").alias("cs"), "inertia"), CLS)
+    best = {c: int(inertia[c].argmin()) for c in classes}
+    # centres are numbered by their coordinates, the first one first
+    rows = [(c, sorted(map(list, centres[c][s].tolist())), float(inertia[c][s])) for c, s in best.items()]
+    found = spark.createDataFrame(rows, f"{CLS} string, cs array<array<double>>, inertia double")
+    return table.join(F.broadcast(found), CLS)      # one row per class
+
+
+def class_blocks(batches):
+    """(class, hashes, rows as a matrix) of each Arrow batch."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        names = np.array(b.column(CLS).to_pylist(), dtype=object)
+        x = b.column("z").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+        h = b.column("h").to_numpy(zero_copy_only=False).astype(np.uint64)
+        for c in sorted(set(names.tolist())):
+            own = names == c
+            yield c, h[own], x[own]
+
+
+def distances(x, centres):
+    """Squared distances (rows, starts, centres)."""
+    flat = centres.reshape(-1, x.shape[1])
+    d = (x * x).sum(axis=1)[:, None] - 2.0 * x @ flat.T + (flat * flat).sum(axis=1)
+    return np.maximum(d, 0.0).reshape(len(x), *centres.shape[:2])
+
+
+def seed_races(batches, centres, step, starts):
+    """A task's winner of each start's race: least draw from an exponential law of rate d^2."""
+    import pyarrow as pa
+    best = {}
+    for c, h, x in class_blocks(batches):
+        rate = distances(x, centres[c]).min(axis=2) if step else np.ones((len(x), starts))
+        rate[rate < 1e-12] = 0.0
+        for s in range(starts):
+            with np.errstate(over="ignore", divide="ignore"):
+                v = (h ^ np.uint64(step * 1_000_003 + s + 1)) * np.uint64(0x9E3779B97F4A7C15)
+                v = (v ^ (v >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+                race = -np.log(((v >> np.uint64(12)) + np.uint64(1)).astype(float) / float((1 << 52) + 2)) / rate[:, s]
+            at = int(race.argmin())
+            if (c, s) not in best or race[at] < best[c, s][0]:
+                best[c, s] = (min(float(race[at]), 1e300), x[at].tolist())
+    for (c, s), (race, row) in best.items():
+        yield pa.RecordBatch.from_pydict({CLS: pa.array([c], pa.string()), "start": pa.array([s], pa.int32()), "race": [race], "z": [row]})
+
+
+def lloyd_sums(batches, state):
+    """A task's sums (class, start, centre, coordinate): the rows' coordinates, number and squared distance."""
+    import pyarrow as pa
+    sums = {}
+    for c, _, x in class_blocks(batches):
+        if c not in state:
+            continue
+        active, centres = state[c]
+        d = distances(x, centres)
+        near, ones = d.argmin(axis=2), np.ones((len(x), 1))
+        for a, s in enumerate(active.tolist()):
+            own = np.eye(centres.shape[1])[near[:, a]]
+            add = own.T @ np.hstack([x, ones, d[:, a].min(axis=1)[:, None]])
+            sums[c, s] = sums[c, s] + add if (c, s) in sums else add
+    for (c, s), v in sums.items():
+        i, j = np.indices(v.shape)
+        yield pa.RecordBatch.from_pydict({CLS: pa.array([c] * v.size, pa.string()), "start": pa.array([s] * v.size, pa.int32()),
+                                          "i": pa.array(i.ravel(), pa.int32()), "j": pa.array(j.ravel(), pa.int32()), "v": v.ravel()})
 
 
 def apply_clusters(df: DataFrame, table: DataFrame, cols) -> DataFrame:

@@ -13,7 +13,7 @@ from .sqltext import EVENTS, MACRO, PANEL, r
 SERIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW",
           "weekly_F", "weekly_O", "weekly_P", "monthly_F", "monthly_O", "monthly_P")
 SPREADS = (("urgent_low", "1-URGENT", "5-LOW"), ("high_medium", "2-HIGH", "3-MEDIUM"),
-           ("urgent_unset", "1-URGENT", "4-NOT SPECIFIED"))
+           ("urgent_unset", "1-URGENT", "4-NOT SPECIFIED"), ("weekly_open", "weekly_O", "weekly_F"))
 TRAIN_END = "1999-07-01"
 
 CAD = f"""{MACRO}, cad AS (SELECT series, release_class, bin AS stamp, arg_max(value, stamp) AS value FROM (

@@ -45,15 +45,6 @@ def register():
 register()
 
 
-@query("feature_matrix_full", "K15 B12")
-def feature_matrix_full(spark, sf):
-    p = panel(spark, sf)
-    m = FeatureBuilder(rounds=3).fit(p).transform(p)
-    num = [c for c, t in m.dtypes if t == "double"]
-    return m.groupBy("partition").agg(F.count("*").alias("n_rows"),
-                                      *[F.count(c).alias(c) for c in num])
-
-
 # ---- sinks: written, read back and returned -----------------------------------------
 
 def folder(spark, name):
