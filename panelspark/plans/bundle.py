@@ -58,13 +58,18 @@ class Bundle:
     def train_end(self):
         return self.table("split").filter("partition = 'train'").agg(F.max(ORDER)).first()[0]
 
-    def fit(self, panel: DataFrame, observations: DataFrame, starts=10, merged: DataFrame = None) -> "Bundle":
+    def fit_regimes(self, panel: DataFrame) -> "Bundle":
+        """The split and the tables that need the bars only."""
         sig = panel.filter("s IS NOT NULL")
         self.put("split", splits.chronological_split(sig).select(ORDER, "partition"))
         end = F.lit(self.train_end).cast("date")
         self.put("gmm", regimes.fit_gmm(panel, end))
         self.put("markov", regimes.fit_markov(panel, end))
         self.put("hmm", regimes.fit_hmm(panel, end))
+        return self
+
+    def fit(self, panel: DataFrame, observations: DataFrame, starts=10, merged: DataFrame = None) -> "Bundle":
+        end = F.lit(self.fit_regimes(panel).train_end).cast("date")
         merged = merged_families(panel) if merged is None else merged
         train = checkpointed(core_block(panel, merged).filter(F.col(ORDER) <= end))
         self.put("components", latent.fit_components(train, catalog.CORE))
@@ -88,15 +93,19 @@ class Bundle:
             base = base.join(part, ROW, "left")
         scaled = macro.frozen_zscore(macro_wide(panel, observations), self.table("macro"), MACRO_COLS)
         base = base.join(F.broadcast(scaled), ORDER, "left")       # one row per calendar date
-        rows = panel.filter("s <> 0").select(*ROW)
-        split = self.table("split")
-        rows = rows.join(F.broadcast(split), ORDER, "left").withColumn("partition", F.coalesce("partition", F.lit("")))
-        ends = split.filter("partition = 'train'").agg(F.max(ORDER).alias("fe_train_end_date"))
+        rows = self.rows(panel)
+        ends = self.table("split").filter("partition = 'train'").agg(F.max(ORDER).alias("fe_train_end_date"))
         matrix = with_scalars(rows, ends).join(base, ROW).select(*catalog.META, *catalog.names())
         catalog.assert_coverage(matrix.columns)
         return matrix
 
 
+    def rows(self, panel: DataFrame) -> DataFrame:
+        """(instrument, date, partition) of the rows with a signal; a date after the split has an empty partition."""
+        split = F.broadcast(self.table("split"))        # one row per calendar date
+        return panel.filter("s <> 0").select(*ROW).join(split, ORDER, "left").withColumn("partition", F.coalesce("partition", F.lit("")))
+
+
 # the drift discriminator reads engineered columns that most rows have
 DRIFT = ["f1_hilo_pos_20", "f1_ret_reversal_10", "f1_bb_bandwidth_20", "f2_vol_10", "f2_vol_20", "f2_parkinson_20", "f2_atr_14",
          "f6_ts_momentum_20", "f6_donchian_pos_20", "f7_volume_trend_20", "f10_hl_range", "f10_hl_range_mean_20", "f10_oto_ret"]
@@ -110,19 +119,20 @@ def redundancy(corr: DataFrame, names, threshold=0.70) -> DataFrame:
     return stats.redundancy_groups(corr, features, threshold).join(stats.max_partner(corr), "feature", "left")
 
 
-def provenance(spark, matrix: DataFrame, bundle: Bundle) -> DataFrame:
-    """(scope, member, n_rows, first_date, last_date, detail) of the split, the rows and the fits."""
+def provenance(rows: DataFrame, bundle: Bundle) -> DataFrame:
+    """(scope, member, n_rows, first_date, last_date, detail) of the split, the rows and the regime fits."""
     def bounds(df, scope, member):
-        return df.groupBy(F.lit(scope).alias("scope"), F.col(member).cast("string").alias("member")).agg(
+        return df.groupBy(F.lit(scope).alias("scope"), F.col(member).alias("member")).agg(
             F.count(F.lit(1)).alias("n_rows"), F.min(ORDER).alias("first_date"), F.max(ORDER).alias("last_date")).withColumn("detail", F.lit(""))
 
-    def fits(name, key, detail):
-        return bundle.table(name).select(F.lit(name).alias("scope"), F.col(key).alias("member"), F.lit(None).cast("bigint").alias("n_rows"),
+    def fits(name):
+        detail = F.to_json(F.struct("n_train", F.round("loglik", 4).alias("loglik"), "rounds"))
+        return bundle.table(name).select(F.lit(name).alias("scope"), F.col(KEY).alias("member"), F.lit(None).cast("bigint").alias("n_rows"),
                                          F.lit(None).cast("date").alias("first_date"), F.lit(None).cast("date").alias("last_date"), detail.alias("detail"))
 
     out = bounds(bundle.table("split"), "split", "partition")
     for scope in ("partition", KEY):
-        out = out.unionByName(bounds(matrix, scope, scope))
+        out = out.unionByName(bounds(rows, scope, scope))
     for name in ("gmm", "markov", "hmm"):
-        out = out.unionByName(fits(name, KEY, F.to_json(F.struct("n_train", "loglik", "rounds"))))
-    return out.unionByName(fits("clusters", "asset_class", F.to_json(F.struct("inertia"))))
+        out = out.unionByName(fits(name))
+    return out

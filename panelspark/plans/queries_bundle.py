@@ -85,8 +85,9 @@ def matrix_redundancy(spark, sf):
 
 @query("bundle_provenance", "A11 D34")
 def bundle_provenance(spark, sf):
-    b, matrix = bundled(spark, sf)
-    return U.provenance(spark, matrix, b)
+    p = panel(spark, sf)
+    b = U.Bundle(spark, folder(spark, "bundle")).fit_regimes(p)
+    return U.provenance(b.rows(p), b)
 
 
 SINKS = {"redundancy": ("feature group_id group_size max_corr_partner max_abs_corr", "matrix_redundancy"),

@@ -93,16 +93,20 @@ def events_fingerprint(spark, sf):
 
 
 TABLES = {"classified": "classify_missing_dates", "missing_holidays": "missing_holiday_metadata",
-          "other_missing": "other_missing_metadata", "scope_counts": "category_scope_counts"}
+          "other_missing": "other_missing_metadata", "scope_counts": "category_scope_counts",
+          "per_instrument": "missing_sessions", "summary": "missing_summary", "anomalies": "anomaly_counts"}
 TABLE_COLS = {
     "classified": "date category scope venue_group label n_missing n_active affected_instruments",
     "missing_holidays": "date year holiday_name holiday_type venue_scope venues_closed observed_scope n_missing "
                         "n_active affected_instruments",
     "other_missing": "date year category label scope venue_group n_missing n_active affected_instruments",
-    "scope_counts": "category scope n"}
+    "scope_counts": "category scope n",
+    "per_instrument": "date classification label instrument venue",
+    "summary": "instrument venue calendar inception n_present n_missing_total n_missing_early_close n_missing_unexplained",
+    "anomalies": "flag n"}
 
 
-@query("diagnostic_tables", "A9 A11", " UNION ALL ".join(
+@query("diagnostic_tables", "A9", " UNION ALL ".join(
     f"SELECT '{n}' AS \"table\", {line_sql(dict.fromkeys(TABLE_COLS[n].split(), ''))} AS line FROM ({QUERIES[q].sql})"
     for n, q in TABLES.items()))
 def diagnostic_tables(spark, sf):
