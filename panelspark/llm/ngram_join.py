@@ -231,8 +231,9 @@ def shared_lists(entries: DataFrame) -> DataFrame:
     sketch never counts too few), so a window may hold one.
     """
     from pyspark.sql import Window
-    own = F.when(F.col("hot"), F.col("key"))        # hot lists are not gathered
-    w = Window.partitionBy("x", own)
+    # hot lists are not gathered; both windows share one column, else each would shuffle
+    entries = entries.withColumn("own", F.when(F.col("hot"), F.col("key")))
+    w = Window.partitionBy("x", "own")
     # a copy listed by several tasks repeats its entries
     e = entries.withColumn("again", F.lag("key").over(w.orderBy("key")).eqNullSafe(F.col("key"))).filter("not again")
     e = e.withColumns({"lo": F.min("key").over(w), "hi": F.max("key").over(w), "c": F.count(F.lit(1)).over(w),
