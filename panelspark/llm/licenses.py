@@ -5,19 +5,22 @@ anchors on the words that occur once in both, keeps the longest increasing run o
 and does the same in every gap between anchors; a gap without such words takes what
 agrees at its two ends. Coverage is the share of the template's words that are aligned.
 
-A notice may occur anywhere and more than once in a long text, so candidate places come
-first: the windows in which enough of the template's words (counted with repeats) lie
-close together. This bound is necessary for the coverage asked for within a window, and
-only those places are aligned.
+A notice may occur anywhere and more than once in a long text. A match that starts at some
+word leaves out at most the words that the coverage spares, so it starts with one of the
+template's first words; from there a window of ``SLACK`` template lengths must hold enough
+of the template's words (counted with repeats). Each such start is aligned, so stray
+template words before a notice cost it nothing: a verbatim notice always has coverage 1.
 
 Every text is scanned whole by the task that reads it; nothing is shuffled.
 
 Defined results: null text counts as empty and has no match; a text may match several
 templates, the best one has the highest coverage, then the most words, then the first
-name; repeated rows are scanned alike; an empty table gives no rows.
+name; matches of one template do not overlap, the one with more words stays, of equals the
+closest, then the first; repeated rows are scanned alike; an empty table gives no rows.
 """
 
 import re
+from bisect import bisect_left
 from collections import Counter
 
 from pyspark.sql import DataFrame, functions as F
@@ -63,7 +66,6 @@ def words(text: str) -> list:
 
 def longest_increasing(values) -> list:
     """Places of a longest strictly increasing run."""
-    from bisect import bisect_left
     tops, ends, back = [], [], []
     for i, v in enumerate(values):
         k = bisect_left(tops, v)
@@ -105,28 +107,48 @@ def align(a, b) -> list:
     return sorted(found)
 
 
-def places(hits, n: int, need: int, width: int, template: Counter):
-    """Disjoint ranges [lo, hi) of words, leftmost first, in which ``need`` template words meet.
+def starts(hits, need: int, width: int, template: Counter, head):
+    """Places of the hits in ``head`` whose window of ``width`` words holds ``need`` template words.
 
-    ``hits`` are (place, word) of the text's words that the template has.
+    ``hits`` are (place, word) of the text's words that the template has; words count with
+    repeats up to the template's. The window slides by one hit, so none is passed over.
     """
-    seen, got, left, out, k = Counter(), 0, 0, [], 0
-    while k < len(hits):
-        place, w = hits[k]
-        seen[w] += 1
-        got += seen[w] <= template[w]
-        k += 1
-        while hits[left][0] <= place - width:
-            v = hits[left][1]
-            got -= seen[v] <= template[v]
-            seen[v] -= 1
-            left += 1
-        if got >= need:
-            lo = hits[left][0]
-            out.append((lo, min(n, lo + width)))
-            while k < len(hits) and hits[k][0] < lo + width:
-                k += 1
-            seen, got, left = Counter(), 0, k
+    seen, got, right = Counter(), 0, 0
+    for place, w in hits:
+        while right < len(hits) and hits[right][0] < place + width:
+            v = hits[right][1]
+            seen[v] += 1
+            got += seen[v] <= template[v]
+            right += 1
+        if got >= need and w in head:
+            yield place
+        got -= seen[w] <= template[w]
+        seen[w] -= 1
+
+
+def notices(ws, hits, t, counts, need: int):
+    """[(matched words, first word, last word)] of one template, apart from each other.
+
+    Every start is aligned that is not inside a verbatim notice. The alignment with the most
+    words is a match, of equals the closest, then the first; those that overlap it go, and so
+    on with the rest.
+    """
+    width, head = max(len(t) + 2, int(len(t) * SLACK)), set(t[:len(t) - need + 1])
+    found, done = [], -1
+    for lo in starts(hits, need, width, counts, head):
+        if lo <= done:
+            continue
+        got = align(ws[lo:lo + width], t)
+        if len(got) >= need:
+            found.append((len(got), lo + got[0][0], lo + got[-1][0]))
+            if len(got) == len(t) and got[-1][0] == len(t) - 1:
+                done = lo + len(t) - 1
+    out, firsts = [], []
+    for m in sorted(found, key=lambda m: (-m[0], m[2] - m[1], m[1])):
+        k = bisect_left(firsts, m[1])
+        if (k == 0 or out[k - 1][2] < m[1]) and (k == len(out) or m[2] < firsts[k]):
+            out.insert(k, m)
+            firsts.insert(k, m[1])
     return out
 
 
@@ -143,13 +165,9 @@ def matches(text: str, templates, coverage: float = COVERAGE):
             hits.setdefault(name, []).append((i, w))
     for name, h in hits.items():
         t, counts = templates[name]
-        need, width = -(-int(coverage * 1000) * len(t) // 1000), max(len(t) + 2, int(len(t) * SLACK))
-        if len(h) < need:
-            continue
-        for lo, hi in places(h, len(ws), need, width, counts):
-            got = align(ws[lo:hi], t)
-            if len(got) >= need:
-                out.append((name, len(got) / len(t), len(got), lo + got[0][0], lo + got[-1][0]))
+        need = -(-int(coverage * 1000) * len(t) // 1000)
+        if len(h) >= need:
+            out += [(name, n / len(t), n, lo, hi) for n, lo, hi in notices(ws, h, t, counts, need)]
     return sorted(out, key=lambda m: (-m[1], -m[2], m[0], m[3]))
 
 

@@ -173,6 +173,68 @@ def test_license_scan(spark, sf):
         assert (found[i].license is not None) >= bool(holds), i
 
 
+def every_start(text, name):
+    """Matches of one template: an alignment from every word that may start one, best first.
+
+    Words inside a verbatim notice start none.
+    """
+    t, w = licenses.words(licenses.TEMPLATES[name]), licenses.words(text)
+    need = -(-int(licenses.COVERAGE * 1000) * len(t) // 1000)
+    width, found = max(len(t) + 2, int(len(t) * licenses.SLACK)), []
+    done = -1
+    for lo in range(len(w)):
+        if lo > done and w[lo:lo + len(t)] == t:
+            done = lo + len(t) - 1
+        elif lo <= done:
+            continue
+        if w[lo] in t[:len(t) - need + 1]:
+            got = licenses.align(w[lo:lo + width], t)
+            if len(got) >= need:
+                found.append((len(got), lo + got[0][0], lo + got[-1][0]))
+    out = []
+    for n, a, z in sorted(found, key=lambda m: (-m[0], m[2] - m[1], m[1])):
+        if all(z < b or y < a for _, b, y in out):
+            out.append((n, a, z))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("name", ["MIT", "Apache-2.0", "GPL-3.0", "ISC", "MIT-line", "Reserved-line"])
+def test_stray_words_hide_no_notice(name):
+    """Layouts of pieces of a notice, other words and whole notices: each whole one is found whole."""
+    t = licenses.words(licenses.TEMPLATES[name])
+    ready = licenses.prepared({name: licenses.TEMPLATES[name]})
+    rng = random.Random(name)
+    for case in range(25):
+        w, whole = [], []
+        for _ in range(rng.randint(1, 3)):
+            kind = rng.randrange(3)
+            if kind == 0:
+                w += t[int(len(t) * rng.uniform(0.4, 0.95)):]
+            elif kind == 1:
+                w += t[:int(len(t) * rng.uniform(0.1, 0.7))]
+            else:
+                w += [x for x in t if rng.random() < 0.85]
+            w += [rng.choice(["other", "words", *t]) for _ in range(rng.randint(0, len(t)))]
+            whole.append((len(w), len(w) + len(t) - 1))
+            w += t
+        text = " ".join(w)
+        got = licenses.matches(text, ready)
+        assert sorted((n, a, z) for _, _, n, a, z in got) == every_start(text, name), (name, case)
+        full = {(a, z) for _, c, _, a, z in got if c == 1}
+        assert full >= set(whole), (name, case)
+    a, z = 3000, 3000 + len(t) - 1
+    filler = [f"w{i}" for i in range(3000)]
+    assert [m[1:] for m in licenses.matches(" ".join(filler + t + filler * 20), ready)] == [(1.0, len(t), a, z)]
+
+
+def test_license_ties_and_long_texts():
+    """Two templates of the same words: the first name is best; a long run of notices is found in full."""
+    same = licenses.prepared({"b": "one two three four", "a": "One two, three four!"})
+    assert [m[0] for m in licenses.matches("x one two three four x", same)] == ["a", "b"]
+    got = licenses.matches(" ".join([licenses.TEMPLATES["MIT"]] * 400), licenses.prepared({"MIT": licenses.TEMPLATES["MIT"]}))
+    assert len(got) == 400 and {m[1] for m in got} == {1.0}
+
+
 def test_pipeline_stage_by_stage(spark, sf, tmp_path):
     import corpus_pipeline as cp
     from collections import defaultdict
