@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..sources.store import shared_dir
-from ..streaming import live as Z
+from ..streaming import live as Z, timed
 from .registry import query
 from .sqltext import EVENTS
 
@@ -101,3 +101,45 @@ def stream_asof_enrich(spark, sf):
     levels.write.parquet(folder)
     return Z.enrich_to_table(Z.tick_stream(spark, sf), spark.read.parquet(folder),
                              f"{shared_dir(spark)}/enriched-{uuid.uuid4().hex}")
+
+
+# Timers fold what the watermark has passed: bars of an hourly grid up to 150 minutes before the last.
+LATE = "150 minutes"
+PASSED = "bar_ts <= (SELECT max(bar_ts) - INTERVAL 150 MINUTE FROM hb)"
+
+
+def run_timed(spark, stream):
+    return timed.run_to_table(stream, f"{shared_dir(spark)}/timed-{uuid.uuid4().hex}")
+
+
+@query("stream_cusum_timers", "Z3 L5", f"""WITH RECURSIVE {EVENTS}, {CLOSED}, {CUS}
+SELECT instrument, bar_ts, side FROM cu WHERE side <> 0 AND {PASSED}""")
+def stream_cusum_timers(spark, sf):
+    return run_timed(spark, timed.cusum(closed_bars(spark, sf), 60.0, LATE))
+
+
+@query("stream_run_state_timers", "Z3 F5b", f"""WITH {EVENTS}, {CLOSED},
+sg AS (SELECT instrument, bar_ts, CASE WHEN close > 50 THEN 1 ELSE -1 END AS s FROM hb),
+c AS (SELECT *, sum(chg) OVER (PARTITION BY instrument ORDER BY bar_ts) AS run FROM (SELECT *, CASE WHEN s = lag(s) OVER
+  (PARTITION BY instrument ORDER BY bar_ts) THEN 0 ELSE 1 END AS chg FROM sg)),
+n AS (SELECT *, row_number() OVER (PARTITION BY instrument, run ORDER BY bar_ts) AS run_length FROM c)
+SELECT instrument, bar_ts, s, run_length, run_length - 1 AS since_flip FROM n WHERE {PASSED}""")
+def stream_run_state_timers(spark, sf):
+    bars = closed_bars(spark, sf)
+    sig = bars.select("instrument", "bar_ts", F.when(F.col("close") > 50, 1).otherwise(-1).alias("s"))
+    return run_timed(spark, timed.run_state(sig, LATE))
+
+
+@query("stream_asof_two_streams", "Z4", f"""WITH {EVENTS}, lv AS (SELECT instrument, date_trunc('day', ts) + INTERVAL 1 DAY AS available, max(px) AS level
+  FROM ev GROUP BY 1, 2)
+SELECT e.instrument, e.ts, e.event_id, e.px, l.available, l.level FROM ev e
+ASOF LEFT JOIN lv l ON l.instrument = e.instrument AND e.ts >= l.available
+WHERE e.ts <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE FROM ev)""")
+def stream_asof_two_streams(spark, sf):
+    from ..sources.bars import events
+    day = F.date_trunc("day", "ts").cast("timestamp") + F.expr("INTERVAL 1 DAY")
+    levels = events(spark, sf).groupBy("instrument", day.alias("available")).agg(F.max("px").alias("level"))
+    folder = f"{shared_dir(spark)}/levels-{uuid.uuid4().hex}"
+    levels.write.parquet(folder)
+    arriving = spark.readStream.schema(levels.schema).parquet(folder)
+    return run_timed(spark, timed.enriched(Z.tick_stream(spark, sf), arriving, "10 minutes"))
