@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.joins import with_scalars
 from ..functions.numeric import nonzero_sd, positive
-from ..functions.windows import KEY, ORDER, lag, log_return, strict, trailing, with_ewm
+from ..functions.windows import KEY, ORDER, lag, log_return, strict, trailing
+from . import tiles
 
 
 def xsect_rank(bars: DataFrame, lookback=20, score="reversal") -> DataFrame:
@@ -52,10 +53,12 @@ def rolling_pair_corr(rets: DataFrame, n=120) -> DataFrame:
 
 def pair_corr_mean(rets: DataFrame, n=120) -> DataFrame:
     """Mean rolling correlation with the class peers; NULL on dates without one."""
-    pc = rolling_pair_corr(rets, n)
-    both = pc.select(F.explode(F.array("a", "b")).alias(KEY), ORDER, "pair_corr")
-    means = both.groupBy(KEY, ORDER).agg(F.avg("pair_corr").alias("f9_pair_corr_mean"))
-    return rets.select(KEY, ORDER).join(means, [KEY, ORDER], "left")
+    grid = date_grid(rets)
+    last = grid.agg(F.max("pos")).first()[0] or 0
+    placed = rets.join(grid, ORDER).select(KEY, "asset_class", ORDER, "pos", "ret")
+    sums = tiles.partner_sums(placed, tiles.rolling_corr(n, last), "asset_class").filter("n > 0")
+    means = sums.select(KEY, "pos", (F.col("total") / F.col("n")).alias("f9_pair_corr_mean"))
+    return placed.select(KEY, ORDER, "pos").join(means, [KEY, "pos"], "left").drop("pos")
 
 
 def date_grid(rets: DataFrame) -> DataFrame:
@@ -106,33 +109,18 @@ def class_dispersion_z(rets: DataFrame, n=63) -> DataFrame:
 
 
 def implied_corr_z(rets: DataFrame, halflife=20, n=252, within_class=False) -> DataFrame:
-    """F9f: z-score of the mean EWM correlation with the other instruments.
+    """F9f: z-score of the mean EWM correlation with the other instruments, on the union grid.
 
-    One pair row stands for both members. ``within_class`` limits the partners
-    to the own class; the default uses the whole instrument dimension.
+    ``within_class`` limits the partners to the own class; the default uses the whole
+    instrument dimension.
     """
-    grid = union_grid(rets).select(KEY, "asset_class", ORDER, "ret")
-    a = grid.select(F.col(KEY).alias("a"), F.col("asset_class").alias("ca"), ORDER,
-                    F.col("ret").alias("ra"))
-    b = grid.select(F.col(KEY).alias("b"), F.col("asset_class").alias("cb"), ORDER,
-                    F.col("ret").alias("rb"))
-    on = [a[ORDER] == b[ORDER], F.col("a") < F.col("b")]
-    if within_class:
-        on.append(F.col("ca") == F.col("cb"))
-    pairs = a.join(b, on).drop(b[ORDER])
-    ok = F.col("ra").isNotNull() & F.col("rb").isNotNull()
-    df = pairs.select("a", "b", ORDER, F.when(ok, F.col("ra")).alias("x"),
-                      F.when(ok, F.col("rb")).alias("y"))
-    df = df.withColumns({"xx": F.col("x") * F.col("x"), "yy": F.col("y") * F.col("y"),
-                         "xy": F.col("x") * F.col("y")})
-    alpha = 1.0 - 0.5 ** (1.0 / halflife)
-    ew = with_ewm(df, [(f"m{c}", c, alpha, 1) for c in ("x", "y", "xx", "yy", "xy")],
-                  key=("a", "b"), mask="x")
-    cov = F.col("mxy") - F.col("mx") * F.col("my")
-    vx, vy = (F.col(f"m{k}{k}") - F.col(f"m{k}") * F.col(f"m{k}") for k in ("x", "y"))
-    ew = ew.withColumn("c", F.when((vx > 1e-18) & (vy > 1e-18), cov / F.sqrt(vx * vy)))
-    both = ew.select(F.explode(F.array("a", "b")).alias(KEY), ORDER, "c")
-    imp = both.groupBy(KEY, ORDER).agg(F.avg("c").alias("_i"))
+    grid = date_grid(rets)
+    last = grid.agg(F.max("pos")).first()[0] or 0
+    placed = rets.join(grid, ORDER).select(KEY, "asset_class", "pos", "ret")
+    corr = tiles.ewm_corr(1.0 - 0.5 ** (1.0 / halflife), last)
+    sums = tiles.partner_sums(placed, corr, "asset_class" if within_class else None)
+    imp = (sums.withColumn("_i", F.when(F.col("n") > 0, F.col("total") / F.col("n")))
+           .join(F.broadcast(grid), "pos").select(KEY, ORDER, "_i"))        # one row per calendar date
     mu, sd = strict(F.avg, "_i", n), strict(F.stddev_pop, "_i", n)
     z = imp.select(KEY, ORDER, ((F.col("_i") - mu) / nonzero_sd(sd)).alias("f9_ewma_implied_corr_z"))
     return rets.select(KEY, ORDER).join(z, [KEY, ORDER])

@@ -3,6 +3,7 @@
 import datetime as dt
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,3 +127,54 @@ def test_size_estimates_stay_flat_over_the_rounds_of_a_loop(spark):
         bits.append(state._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bitLength())
     assert max(bits) - min(bits) <= 4
     assert state.count() == 50
+
+
+def test_partner_means_equal_pairs_in_pandas(spark):
+    """Tiles of instruments give the means of all pairs, over gaps, short series and equal returns."""
+    rng, rows = np.random.default_rng(5), []
+    days = pd.date_range("2020-01-01", periods=150)
+    for k in range(14):
+        for d in days[rng.random(150) > (0.1 if k else 0.8)][: 20 if k == 1 else None]:
+            rows.append((f"i{k:02d}", f"c{k % 3}", d.date(), 0.01 if k == 2 else float(rng.normal(0, 0.02))))
+    rows += [("alone", "own", d.date(), float(rng.normal())) for d in days]
+    df = spark.createDataFrame(rows, "instrument string, asset_class string, date date, ret double")
+    wide = pd.DataFrame(rows, columns=["i", "g", "d", "r"])
+    group = dict(zip(wide.i, wide.g))
+    wide = wide.pivot(index="d", columns="i", values="r")
+
+    def partner_mean(corr, same):
+        out = {}
+        for a in wide:
+            cs = [corr(wide[a], wide[b]) for b in wide if a != b and (not same or group[a] == group[b])]
+            out[a] = pd.concat(cs, axis=1).mean(axis=1) if cs else pd.Series(np.nan, wide.index)
+        return pd.DataFrame(out)
+
+    def ewm(x, y):
+        ok = x.notna() & y.notna()
+        mean = [v.where(ok).ewm(alpha=1 - 0.5 ** (1 / 20), adjust=False).mean() for v in (x, y, x * x, y * y, x * y)]
+        vx, vy = mean[2] - mean[0] ** 2, mean[3] - mean[1] ** 2
+        return ((mean[4] - mean[0] * mean[1]) / np.sqrt(vx * vy)).where((vx > 1e-18) & (vy > 1e-18))
+
+    def rolling(x, y):
+        both = pd.concat([x, y], axis=1).dropna()
+        return both.iloc[:, 0].rolling(30).corr(both.iloc[:, 1]).replace([np.inf, -np.inf], np.nan).reindex(x.index)
+
+    def check(frame, name, want):
+        got = frame.toPandas().pivot(index="date", columns="instrument", values=name)
+        want = want.where(wide.notna()).reindex(columns=got.columns, index=got.index)
+        assert got.notna().to_numpy().sum() > 500
+        np.testing.assert_allclose(got.to_numpy(float), want.to_numpy(float), rtol=1e-7, atol=1e-9)
+
+    want = partner_mean(rolling, True)
+    want.loc[:, "i02"] = np.nan             # a constant series has no correlation ...
+    others = [c for c in wide if group[c] == group["i02"] and c != "i02"]
+    for a in others:                        # ... and is no partner
+        cs = [rolling(wide[a], wide[b]) for b in others if b != a]
+        want[a] = pd.concat(cs, axis=1).mean(axis=1)
+    check(X.pair_corr_mean(df, 30), "f9_pair_corr_mean", want)
+    for same in (False, True):
+        m = partner_mean(ewm, same)
+        z = (m - m.rolling(40).mean()) / m.rolling(40).std(ddof=0)
+        z = z.drop(columns="alone") if same else z
+        check(X.implied_corr_z(df, n=40, within_class=same), "f9_ewma_implied_corr_z", z)
+    assert X.implied_corr_z(df.limit(0)).count() == 0 and X.pair_corr_mean(df.limit(0)).count() == 0
