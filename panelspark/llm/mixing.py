@@ -11,7 +11,8 @@ The drawn blocks are dealt over the output shards by a splitting tree: each node
 its shards and draws how many blocks of each source go left from the multivariate
 hypergeometric law, seeded by its place, so every shard holds an equal number of blocks
 in random proportions and the leaves partition the exact quotas. Inside a source the
-blocks are permuted and dealt by those quotas; rows are shuffled inside their shard.
+blocks are permuted, and each leaf draws the next blocks of that order by its quota: what
+no leaf draws is not in the mix. Rows are shuffled inside their shard.
 
 Offsets are prefix sums on two levels (hash parts of a source, rows of a part), so a
 source of any size is spread over ``PARTS`` tasks.
@@ -140,7 +141,11 @@ def hypergeometric(rng, good: int, bad: int, take: int) -> int:
 
 
 def mixed(sized: DataFrame, shards: int = SHARDS, weights=WEIGHTS, budget=BUDGET, cap=CAP, seed: int = 0):
-    """(rows, drawn): the placed rows with targets, and one row per drawn copy with its shard."""
+    """(rows, drawn): the placed rows with targets, and one row per drawn copy.
+
+    A copy has its shard and ``place``, the rank of its block among those that the shard draws
+    from the source.
+    """
     sized = cut(sized)
     per = cut(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, cap))
     t = per.select(F.col("source").alias("s3"), "source_size", "target")
@@ -163,12 +168,13 @@ def mixed(sized: DataFrame, shards: int = SHARDS, weights=WEIGHTS, budget=BUDGET
     upto = Window.partitionBy("source").orderBy("shard")
     leaves = (leaves.withColumn("hi", F.sum("quota").over(upto)).withColumn("lo", F.col("hi") - F.col("quota"))
               .filter("quota > 0").groupBy("source")
-              .agg(F.array_sort(F.collect_list(F.struct("hi", "shard"))).alias("runs")))
+              .agg(F.array_sort(F.collect_list(F.struct("hi", "shard", "lo"))).alias("runs")))
     leaves = leaves.select(F.col("source").alias("s5"), "runs")
-    # the run of a place: the first whose end reaches it
+    # the leaf that draws a block: the first whose run of the permutation reaches it
     dealt = (blocks.join(small(cut(leaves)), F.col("source").eqNullSafe(F.col("s5")))
-             .withColumn("shard", F.get(F.filter("runs", lambda r: r["hi"] >= F.col("k")), 0)["shard"])
-             .select(F.col("source").alias("s6"), F.col("pass").alias("p6"), F.col("block").alias("b6"), "shard"))
+             .withColumn("leaf", F.get(F.filter("runs", lambda r: r["hi"] >= F.col("k")), 0)).filter("leaf is not null")
+             .select(F.col("source").alias("s6"), F.col("pass").alias("p6"), F.col("block").alias("b6"),
+                     F.col("leaf.shard").alias("shard"), (F.col("k") - F.col("leaf.lo")).alias("place")))
     out = drawn.join(dealt, F.col("source").eqNullSafe(F.col("s6")) & (F.col("pass") == F.col("p6"))
                      & (F.col("block") == F.col("b6"))).drop("s6", "p6", "b6")
     return rows, out
@@ -203,6 +209,8 @@ def first_words(text, n):
 def sampled(docs: DataFrame, shards: int = SHARDS, weights=WEIGHTS, budget=BUDGET, cap=CAP, seed: int = 0) -> DataFrame:
     """The mix itself: the input's columns, one row per drawn copy, shuffled inside shards.
 
+    A shard is spread over tasks by the first digits of its shuffled order, so neither its size
+    nor the number of shards bounds the tasks; each task's rows are in that order.
     The one document of a source that is taken in part is cut after its last taken word.
     Ids are assumed to tell rows apart, save for repeated rows, which are drawn alike.
     """
@@ -215,4 +223,5 @@ def sampled(docs: DataFrame, shards: int = SHARDS, weights=WEIGHTS, budget=BUDGE
     text = F.when(F.col("taken") < F.col("size"), first_words(F.col("row.text"), F.col("taken"))).otherwise(F.col("row.text"))
     cols = [(text if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns]
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"), F.col("pass").cast("string")))
-    return d.repartition("shard").sortWithinPartitions("shard", order).select(*cols)
+    d = d.withColumns({"order": order, "cell": F.substring(order, 1, 2)})
+    return d.repartition("shard", "cell").sortWithinPartitions("shard", "order").select(*cols)

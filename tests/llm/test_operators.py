@@ -1,12 +1,14 @@
 """Operators against plain versions, on edge cases and on the smallest tables."""
 
 import hashlib
+import random
 import zlib
 from array import array
 from collections import Counter, defaultdict
 
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from panelspark.llm import bpe, dedup, mixing, ngram_join, pii, quality, sharding
 from panelspark.llm.queries import QUERIES, SQL, vocabulary
@@ -254,3 +256,66 @@ def test_exact_dedup(spark, edge, edge_rows, nothing, heavy):
     assert kept.columns == edge.columns
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted((i for i, _, _, k, _ in plain.copies(rows) if k), key=str)
     assert dedup.copy_groups(nothing).count() == 0 and dedup.keep_one(nothing).count() == 0
+
+
+def dealt_plainly(rows, shards, seed, block):
+    """{(doc, pass): (shard, place, taken)} of rows (doc, source, size), without Spark."""
+    import numpy as np
+    streams = defaultdict(list)
+    for d, s, n in sorted(rows, key=lambda r: hashlib.md5(f"mix:{r[0]}".encode()).hexdigest()):
+        streams[s].append((d, sum(x[2] for x in streams[s]), n))
+    order = sorted(streams, key=lambda s: (s is None, s or ""))
+    size = {s: sum(x[2] for x in streams[s]) for s in order}
+    target = plain.mix_targets(size)
+    drawn, blocks = [], defaultdict(set)
+    for s in order:
+        want = int(target[s] + 0.5)
+        for k in range(-(-want // size[s])):
+            for d, at, n in streams[s]:
+                got = min(n, max(0, want - k * size[s] - at))
+                if got:
+                    drawn.append((s, k, at // block, d, got))
+                    blocks[s].add((k, at // block))
+    name = {s: [] if s is None else [s] for s in order}
+    for s in order:
+        blocks[s] = sorted(blocks[s], key=lambda b: hashlib.md5(":".join([f"block{seed}", *name[s], *map(str, b)]).encode()).hexdigest())
+
+    def split(lo, hi, quota):
+        if hi - lo <= 1:
+            return {lo: quota}
+        mid = lo + (hi - lo + 1) // 2
+        take, rest = sum(quota.values()) * (mid - lo) // (hi - lo), sum(quota.values())
+        rng, go = np.random.default_rng([seed, lo, hi]), {}
+        for s in order:
+            rest -= quota[s]
+            go[s] = (0 if take <= 0 or quota[s] <= 0 else min(quota[s], take) if rest <= 0
+                     else int(rng.hypergeometric(quota[s], rest, take)))
+            take -= go[s]
+        return {**split(lo, mid, go), **split(mid, hi, {s: quota[s] - go[s] for s in order})}
+
+    leaves, at = split(0, shards, {s: len(blocks[s]) for s in order}), {}
+    for s in order:
+        k = 0
+        for shard in range(shards):
+            for place in range(1, leaves[shard][s] + 1):
+                at[s, blocks[s][k]] = (shard, place)
+                k += 1
+    return {(d, k): (*at[s, (k, b)], got) for s, k, b, d, got in drawn}
+
+
+def test_mixing_tree_decides_shards(spark, monkeypatch):
+    """Shard, place and words of every copy equal a plain tree, and follow its seed."""
+    monkeypatch.setattr(mixing, "BLOCK", 40)
+    rng = random.Random(7)
+    rows = [(i, rng.choice(["a", "a", "a", "b", "c", None]), rng.randint(1, 30)) for i in range(300)]
+    df = spark.createDataFrame([(i, s, "w " * n) for i, s, n in rows], "doc_id bigint, source string, text string")
+    seen = []
+    for seed in (0, 5):
+        drawn = mixing.mixed(mixing.sizes(df), 6, seed=seed)[1]
+        got = {(r.doc_id, r["pass"]): (r.shard, r.place, r.taken) for r in drawn.collect()}
+        assert got == dealt_plainly(rows, 6, seed, 40)
+        seen.append(got)
+    assert seen[0] != seen[1]
+    # without leaves nothing is drawn
+    monkeypatch.setattr(mixing, "splitting_tree", lambda q, *_: q.select("source", F.lit(0).alias("shard"), "quota").limit(0))
+    assert {r.taken for r in mixing.taken(df).collect()} == {0}
