@@ -23,11 +23,16 @@ its copies.
   each member. The lists in which different classes still meet then give all their pairs
   across classes. No link between classes is lost, and a family of near copies costs its
   size and not its square.
+* Two entries only make a pair if the parity bits of their sets allow a link: every shingle
+  flips one of 64 ``WORDS`` bits of its set, so two sets that differ in d shingles differ in at
+  most d bits, and a link allows d = n + m - 2 c(n, m). Lists of texts that share passages
+  and do not link are looked at inside their join and leave it as few pairs.
 * The boundary is the size with the least expected cost, from the histogram of sizes
   and the mean list length that the sketch implies (as far as pivots leave it).
 
-Sets are known by a 64-bit sum of digests; a false meeting of two of 10^9 sets has a
-chance of about 3 in 100.
+Sets are known by a 64-bit sum of digests, which is checked: a second sum tells keys that
+different sets share (about three among 10^10 sets), and their sets take another key. So two
+sets are only confused when both sums agree, 128 bits.
 
 Defined results: null text, or one without words, has an empty set and is linked with
 nothing; fewer than five words are one shingle; repeated rows are in one class; null
@@ -51,6 +56,9 @@ HOT = 10_000            # a shingle that more documents hold is kept out of sing
 SHARED = 10             # first shingles that a candidate pair must share
 PIVOTS = 6              # pivots of a list, and partners that a set tests in a round
 EASY = 8                # pairs across classes for each entry that are looked at without pivots
+WORDS = 8               # longs of parity bits of a set
+BITS = [f"b{i}" for i in range(WORDS)]
+KEY_BITS = 64           # bits of a set's first key
 
 
 def overlap(a: int, b: int) -> int:
@@ -88,14 +96,31 @@ def boundary(histogram: dict, mean_list: float) -> int:
     return min(range(0, MOST_LIGHT + 1), key=cost)
 
 
+def keyed(s, bits: int, taken=frozenset()) -> int:
+    """The key of a set; ``taken`` are first keys that different sets have."""
+    from . import shingles
+    key = shingles.total(s, 1)
+    if bits < 64:
+        key %= 1 << bits
+    return shingles.total(s, 5) if key in taken else key
+
+
+def parities(s):
+    """One row of ``WORDS`` longs: bit i is set when an odd number of shingles falls on i."""
+    import numpy as np
+    at = (s >> np.uint64(40)).astype(np.int64) % (64 * WORDS)
+    odd = np.bincount(at, minlength=64 * WORDS).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64)
+
+
 def surveyed(rows: DataFrame):
-    """(sets, sketch rows) in one reading: sets (id, n, key, s), s only up to MOST_LIGHT."""
+    """(sets, sketch rows) in one reading: sets (id, n, key, key2, bits, s), s only up to MOST_LIGHT."""
     def run(batches):
         import numpy as np
         import pyarrow as pa
         from . import shingles
         counts = np.zeros(BUCKETS, dtype=np.int32)
-        names = ["id", "n", "key", "s", "chunk", "counts"]
+        names = ["id", "n", "key", "key2", *BITS, "s", "chunk", "counts"]
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 ids = b.column("id").slice(lo, 512)
@@ -105,18 +130,38 @@ def surveyed(rows: DataFrame):
                 n = len(sets)
                 yield pa.RecordBatch.from_arrays([
                     ids, pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([shingles.total(s, 1) for s in sets], pa.int64()),
+                    pa.array([keyed(s, KEY_BITS) for s in sets], pa.int64()),
+                    pa.array([shingles.total(s, 5) for s in sets], pa.int64()), *map(pa.array, np.array([parities(s) for s in sets]).T),
                     pa.array([s.astype(np.int64) if len(s) <= MOST_LIGHT else None for s in sets], pa.list_(pa.int64())),
                     pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
         for i in range(0, BUCKETS, CHUNK):
             part = counts[i:i + CHUNK]
             if part.any():
                 yield pa.RecordBatch.from_arrays([
-                    pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int64())),
+                    *[pa.nulls(1, pa.int64()) for _ in names[:-3]], pa.nulls(1, pa.list_(pa.int64())),
                     pa.array([i // CHUNK], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=names)
 
-    both = cut(rows.mapInArrow(run, "id bigint, n bigint, key bigint, s array<bigint>, chunk int, counts binary"))
-    return both.filter("chunk is null").select("id", "n", "key", "s"), both.filter("chunk is not null").select("chunk", "counts")
+    both = cut(rows.mapInArrow(run, ", ".join(f"{c} bigint" for c in ["id", "n", "key", "key2", *BITS]) + ", s array<bigint>, chunk int, counts binary"))
+    return both.filter("chunk is null").drop("chunk", "counts"), both.filter("chunk is not null").select("chunk", "counts")
+
+
+def told_apart(sets: DataFrame):
+    """(sets without key2, first keys that different sets share).
+
+    Such keys come by chance, n^2 / 2^65 of n sets, so they fit the driver. Their sets take
+    the second sum as key; if that is not free either, the query stops.
+    """
+    def clashes(d):
+        per = d.groupBy("key").agg(F.min("key2").alias("a"), F.max("key2").alias("b"), F.min("n").alias("c"), F.max("n").alias("d"))
+        return per.filter("a <> b or c <> d").select("key")
+
+    shared = frozenset(r.key for r in clashes(sets).collect())
+    if not shared:
+        return sets.drop("key2"), shared
+    again = sets.withColumn("key", F.when(F.col("key").isin(*shared), F.col("key2")).otherwise(F.col("key")))
+    if not clashes(again).isEmpty():
+        raise RuntimeError("two different sets share both sums of their digests")
+    return cut(again.drop("key2")), shared
 
 
 def sketch(parts: DataFrame):
@@ -138,8 +183,11 @@ def sketch(parts: DataFrame):
     return bytes(out), n, sq
 
 
-def listed(rows: DataFrame, counts, limit: int) -> DataFrame:
-    """Entries (x, key, n, most, hot) of the inverted lists: the first places of each set."""
+def listed(rows: DataFrame, counts, limit: int, taken=frozenset()) -> DataFrame:
+    """Entries (x, key, n, most, hot) of the inverted lists: the first places of each set.
+
+    ``taken`` are first keys that different sets share.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(counts)
     names = ["x", "key", "n", "most", "hot"]
 
@@ -156,7 +204,7 @@ def listed(rows: DataFrame, counts, limit: int) -> DataFrame:
                     n = len(s)
                     if 5 * n // 4 <= limit:
                         continue
-                    key = shingles.total(s, 1)
+                    key = keyed(s, KEY_BITS, taken)
                     if key in seen:
                         continue
                     if len(seen) < 1_000_000:
@@ -245,7 +293,7 @@ def shared_lists(entries: DataFrame) -> DataFrame:
     return e.groupBy("key", "n").agg(F.collect_list(F.struct("x", "most", "m", "hot")).alias("places"))
 
 
-def read_sets(rows: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
+def read_sets(rows: DataFrame, sets: DataFrame, wanted: DataFrame, taken=frozenset()) -> DataFrame:
     """(key, s) of the wanted keys, read again from one document of each key.
 
     Nothing but keys and ids is shuffled; documents of equal ids may give a row twice.
@@ -258,7 +306,7 @@ def read_sets(rows: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
             for lo in range(0, b.num_rows, 256):
                 found = shingles.sets_of(b.column("t").slice(lo, 256).to_pylist())
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([shingles.total(s, 1) for s in found], pa.int64()),
+                    pa.array([keyed(s, KEY_BITS, taken) for s in found], pa.int64()),
                     pa.array([s.astype(np.int64) for s in found], pa.list_(pa.int64()))], names=["key", "s"])
 
     one = sets.join(small(wanted, 200_000), "key", "left_semi").groupBy("key").agg(F.min("id").alias("id"))
@@ -280,13 +328,14 @@ def tested(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def classes(rows: DataFrame) -> DataFrame:
     """(id, n, key, comp) for rows (id, t): comp is the key of the class."""
     sets, parts = surveyed(rows)
+    sets, taken = told_apart(sets)
     counts, total, squares = sketch(parts)
     sizes = {r.n: r.c for r in sets.filter(f"n between 1 and {2 * MOST_LIGHT}").groupBy("n")
              .agg(F.count(F.lit(1)).alias("c")).collect()}
     total = max(total, 1.0)
     mean_list = 1 + max((squares - total * total / BUCKETS) / total - 1, 0.0)      # less what chance puts together
     limit = boundary(sizes, mean_list)
-    lists = cut(shared_lists(listed(rows, counts, limit)))
+    lists = cut(shared_lists(listed(rows, counts, limit, taken)))
     links = cut(light_links(subsets(sets, limit))) if limit else None
     labels = components(links) if links is not None else None
     before = float("inf")
@@ -296,9 +345,9 @@ def classes(rows: DataFrame) -> DataFrame:
             break
         # pivots go on while they at least halve what is left
         last, before = across <= EASY * entries or 2 * across > before, across
-        pairs = cut(cross_pairs(at) if last else pivot_pairs(at))
+        pairs = cut(cross_pairs(at, sets) if last else pivot_pairs(at))
         asked = cut(pairs.select(F.col("u").alias("key")).union(pairs.select("v")).distinct())
-        found = cut(tested(pairs, cut(read_sets(rows, sets, asked))))
+        found = cut(tested(pairs, cut(read_sets(rows, sets, asked, taken))))
         if not found.isEmpty():
             links = cut(links.union(found)) if links is not None else found
             labels = components(links)
@@ -377,12 +426,21 @@ def pivot_pairs(at: DataFrame) -> DataFrame:
     return d.select(F.least("u", "q.v").alias("u"), F.greatest("u", "q.v").alias("v")).distinct()
 
 
-def cross_pairs(at: DataFrame) -> DataFrame:
-    """All pairs of different classes that meet often enough."""
+def alike():
+    """The parity bits of entries p and q allow a link: sets that differ in d shingles differ in at most d bits."""
+    far = sum((F.bit_count(F.col(f"p.{b}").bitwiseXOR(F.col(f"q.{b}"))) for b in BITS), F.lit(0))
+    both = F.col("p.n") + F.col("q.n")
+    return far <= both - 2 * F.ceil(4 * both / 9)
+
+
+def cross_pairs(at: DataFrame, sets: DataFrame) -> DataFrame:
+    """All pairs of different classes that meet often enough and whose parity bits allow a link."""
+    bits = sets.select("key", *BITS).dropDuplicates(["key"])
+    at = at.join(bits.hint("merge"), "key")
     early, other = at.filter("most >= n").alias("p"), at.alias("q").hint("merge")
     late = F.col("q.most") < F.col("q.n")
     d = early.join(other, F.col("p.x") == F.col("q.x")).filter(
-        (late | (F.col("p.key") < F.col("q.key"))) & (F.col("p.comp") != F.col("q.comp"))).filter(fits())
+        (late | (F.col("p.key") < F.col("q.key"))) & (F.col("p.comp") != F.col("q.comp"))).filter(fits() & alike())
     d = d.select(F.col("p.m").alias("w"), *[F.when(F.col("p.key") < F.col("q.key"), F.struct("p.key", "p.n")).otherwise(F.struct("q.key", "q.n")).alias("p"),
                    F.when(F.col("p.key") < F.col("q.key"), F.struct("q.key", "q.n")).otherwise(F.struct("p.key", "p.n")).alias("q")])
     return met(d).select("u", "v")

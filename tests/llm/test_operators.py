@@ -72,6 +72,49 @@ def test_ngram_hot_lists(spark, monkeypatch, easy):
     assert got == sorted(plain.jaccard_classes(rows), key=str)
 
 
+def family(n, k):
+    """n texts of 90 words of which half are their own, the others in k passages."""
+    return [" ".join([f"c{i % k}_{j}" for j in range(45)] + [f"o{i // 2}_{j}" for j in range(45 + i % 2)]) for i in range(n)]
+
+
+def test_ngram_keys_that_sets_share_are_told_apart(spark, monkeypatch):
+    """With first keys of four bits nearly all sets share theirs, and take the second sum."""
+    monkeypatch.setattr(ngram_join, "KEY_BITS", 4)
+    texts = family(60, 3) + [" ".join(f"a{j}" for j in range(n)) for n in range(3, 20)]
+    rows = list(enumerate(texts + texts[:5]))
+    got = rows_of(ngram_join.linked(spark.createDataFrame(rows, "doc_id bigint, text string")),
+                  "doc_id", "n_shingles", "component_id")
+    assert got == sorted(plain.jaccard_classes(rows), key=str)
+
+
+def test_parity_bits_never_exceed_the_difference():
+    import random
+    import numpy as np
+    from panelspark.llm import shingles
+    draw = random.Random(5)
+    for _ in range(200):
+        pool = [f"w{draw.randrange(300)}" for _ in range(draw.randrange(5, 400))]
+        other = pool[:]
+        for _ in range(draw.randrange(0, 12)):
+            other[draw.randrange(len(other))] = "new"
+        a, b = shingles.sets_of([" ".join(pool), " ".join(other)])
+        apart = len(np.setxor1d(a, b))
+        far = sum(bin(int(x) & (2 ** 64 - 1)).count("1") for x in ngram_join.parities(a) ^ ngram_join.parities(b))
+        assert far <= apart and (far - apart) % 2 == 0
+
+
+def test_ngram_passages_without_links_leave_few_pairs(spark, monkeypatch):
+    """Texts that share half their words meet in lists, and their parity bits part them."""
+    made = []
+    cross = ngram_join.cross_pairs
+    monkeypatch.setattr(ngram_join, "cross_pairs", lambda *a: made.append(cross(*a)) or made[-1])
+    rows = list(enumerate(family(120, 2)))
+    got = rows_of(ngram_join.linked(spark.createDataFrame(rows, "doc_id bigint, text string")),
+                  "doc_id", "n_shingles", "component_id")
+    assert got == sorted(plain.jaccard_classes(rows), key=str)
+    assert sum(d.count() for d in made) <= 2 * len(rows)
+
+
 def test_boundary_follows_cost():
     sizes = {n: 100 for n in range(1, 30)}
     low, high = ngram_join.boundary(sizes, 0.0), ngram_join.boundary(sizes, 500.0)
