@@ -3,8 +3,8 @@
 White space separates the units of this vocabulary, so a text cut at spaces encodes
 piece by piece, and equal units are encoded once per task. Long texts become pieces
 that are encoded in parallel tasks. Text without a space (one unit of any length) is
-cut anywhere, and the halves are joined along a tree: the text around a join is
-encoded again, in a window that doubles until it shares a token (same id and place)
+cut anywhere; its pieces are encoded in parallel tasks too, and the halves are joined along
+a tree from the ids already made: only the text around a join is encoded again, in a window that doubles until it shares a token (same id and place)
 with the left half and one with the right half. Every pair of neighbours in the joined
 ids then stands in some valid encoding, and an encoding is the valid one exactly when
 all neighbouring pairs are valid, so the join is exact.
@@ -20,7 +20,9 @@ import os
 import re
 from array import array
 from functools import lru_cache
+from itertools import accumulate
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from .text import packed
@@ -62,7 +64,7 @@ class Codec:
         short = [u for u in new if len(u) <= PIECE]
         long = [u for u in new if len(u) > PIECE]
         encoded = [e.ids for e in self.lib.encode_batch_fast(short, add_special_tokens=False)]
-        encoded += [[i for i, _, _ in self.tree(u)] for u in long]
+        encoded += [self.tree(u)[:, 0].tolist() for u in long]
         for u, ids in zip(short + long, encoded):
             self.ids[u] = array("I", ids).tobytes()
             self.out[u] = self.lib.decode(ids, skip_special_tokens=False)
@@ -92,30 +94,47 @@ class Codec:
             ids = map(self.ids.__getitem__, units)
         return b"".join(ids), " ".join(filter(None, map(self.out.__getitem__, units)))
 
+    def table(self, text: str):
+        """The triples as the columns of an array."""
+        e = self.lib.encode(text, add_special_tokens=False)
+        return np.column_stack([np.array(e.ids, dtype=np.int64), np.array(e.offsets, dtype=np.int64).reshape(-1, 2)])
+
     def tree(self, text: str, size: int = PIECE):
         """Triples of one unit, by halves."""
-        if len(text) <= size:
-            return self.triples(text)
-        half = len(text) // 2
-        return self.join(text, half, self.tree(text[:half], size),
-                         [(i, a + half, b + half) for i, a, b in self.tree(text[half:], size)])
-
-    def join(self, text, at, left, right):
-        """Triples of ``text`` from those of text[:at] and text[at:] (places in text)."""
+        cuts = range(0, max(len(text), 1), size)
+        return self.joined(text, [(lo, self.table(text[lo:lo + size])) for lo in cuts], len(text))
+
+    def joined(self, text, parts, last):
+        """Triples of the text up to ``last`` from parts (first place, triples from there), by halves."""
+        if len(parts) == 1:
+            lo, t = parts[0]
+            return t + np.array([0, lo, lo])
+        half = len(parts) // 2
+        at = parts[half][0]
+        return self.join(text, parts[0][0], at, last, self.joined(text, parts[:half], at), self.joined(text, parts[half:], last))
+
+    def join(self, text, first, at, last, left, right):
+        """Triples of text[first:last] from those of text[first:at] and of text[at:last].
+
+        Windows grow inside the text that both cover, and only the triples inside a window
+        are looked at.
+        """
         width = WINDOW
-        while at > width or len(text) - at > width:
-            lo, hi = max(0, at - width), min(len(text), at + width)
+        while at - first > width or last - at > width:
+            lo, hi = max(first, at - width), min(last, at + width)
             mid = [(i, a + lo, b + lo) for i, a, b in self.triples(text[lo:hi])]
-            start = 0 if lo == 0 else first_shared(left, mid, at)
+            i0 = int(np.searchsorted(left[:, 1], lo)) if len(left) else 0
+            m1 = int(np.searchsorted(right[:, 2], hi, "right")) if len(right) else 0
+            start = (-i0, 0) if lo == first else first_shared([*map(tuple, left[i0:].tolist())], mid, at)
             if start is not None:
-                i, j = start if lo else (0, 0)
-                end = last_shared(mid, right, at) if hi < len(text) else (len(mid), len(right))
+                i, j = i0 + start[0], start[1]
+                end = last_shared(mid, [*map(tuple, right[:m1].tolist())], at) if hi < last else (len(mid), len(right))
                 if end is not None:
                     k, m = end
                     if k >= j:
-                        return left[:i] + mid[j:k] + right[m:]
+                        return np.concatenate([left[:i], np.array(mid[j:k], dtype=np.int64).reshape(-1, 3), right[m:]])
             width *= 2
-        return self.triples(text)
+        return self.table(text[first:last]) + np.array([0, first, first])
 
 
 def first_shared(left, mid, at):
@@ -180,7 +199,8 @@ def encoded(docs: DataFrame, path: str, text_col: str = "text", ids: bool = True
     """All input columns, n_tokens, ids_sha256, decoded_sha256 and, with ``ids``, the ids.
 
     Texts of up to one piece are encoded where they are read. Longer ones are cut, their
-    pieces dealt over the tasks, and each text is put together by one task.
+    pieces dealt over the tasks, and each text is put together by one task, which encodes
+    nothing but the windows around the joins.
     """
     import pyarrow as pa
 
@@ -212,31 +232,38 @@ def encoded(docs: DataFrame, path: str, text_col: str = "text", ids: bool = True
     def cut_up(batches):
         for b in batches:
             for k, t in zip(b.column("key").to_pylist(), b.column("t").to_pylist()):
-                for i, (p, open_end) in enumerate(pieces(t)):
-                    yield pa.RecordBatch.from_pydict({"key": [k], "i": [i], "t": [p], "joined": [open_end]})
+                before = False
+                for i, (p, joined) in enumerate(pieces(t, PIECE)):
+                    yield pa.RecordBatch.from_pydict({"key": [k], "i": [i], "t": [p], "joined": [joined], "run": [joined or before]})
+                    before = joined
 
     def encode_pieces(batches):
         c = codec(path)
         for b in batches:
-            for k, i, t, j in zip(*(b.column(x).to_pylist() for x in ("key", "i", "t", "joined"))):
-                data, decoded = c.encode(t)
-                yield pa.RecordBatch.from_pydict({"key": [k], "i": [i], "t": [t], "joined": [j],
-                                                  "data": [data], "decoded": [decoded]})
+            for k, i, t, j, run in zip(*(b.column(x).to_pylist() for x in ("key", "i", "t", "joined", "run"))):
+                if run:     # part of a run without a space: ids with their places, and the text around the joins
+                    data, decoded = c.table(t).astype("<i4").tobytes(), t
+                else:
+                    data, decoded = c.encode(t)
+                yield pa.RecordBatch.from_pydict({"key": [k], "i": [i], "joined": [j], "data": [data], "decoded": [decoded]})
 
     def put_together(key, table):
         c = codec(path)
         table = table.sort_by("i")
-        ts, js = table.column("t").to_pylist(), table.column("joined").to_pylist()
-        data, decoded = table.column("data").to_pylist(), table.column("decoded").to_pylist()
+        js, data, decoded = (table.column(x).to_pylist() for x in ("joined", "data", "decoded"))
         parts, k = [], 0
-        while k < len(ts):
+        while k < len(js):
             end = k
             while js[end]:
                 end += 1
             if end == k:
                 parts.append((data[k], decoded[k]))
             else:       # an uncut run over several pieces
-                parts.append(c.encode("".join(ts[k:end + 1])))
+                starts = accumulate(map(len, decoded[k:end]), initial=0)
+                tables = [(at, np.frombuffer(d, dtype="<i4").reshape(-1, 3).astype(np.int64)) for at, d in zip(starts, data[k:end + 1])]
+                run = "".join(decoded[k:end + 1])
+                ids = c.joined(run, tables, len(run))[:, 0]
+                parts.append((ids.astype("<u4").tobytes(), c.lib.decode(ids.tolist(), skip_special_tokens=False)))
             k = end + 1
         whole = finish(b"".join(d for d, _ in parts), " ".join(x for _, x in parts if x))
         return pa.Table.from_pydict({"key": [key[0].as_py()], **{a: [v] for a, v in whole.items()}},
@@ -245,9 +272,9 @@ def encoded(docs: DataFrame, path: str, text_col: str = "text", ids: bool = True
     row_type = plain.schema["row"].dataType.simpleString()
     near = plain.filter(F.length("t") <= PIECE).mapInArrow(short, f"row {row_type}, {cols}")
     far = plain.filter(F.length("t") > PIECE).withColumn("key", F.sha2("t", 256))
-    cut_rows = far.select("key", "t").mapInArrow(cut_up, "key string, i bigint, t string, joined boolean")
+    cut_rows = far.select("key", "t").mapInArrow(cut_up, "key string, i bigint, t string, joined boolean, run boolean")
     done = (cut_rows.dropDuplicates(["key", "i"])      # equal texts are encoded once
-            .mapInArrow(encode_pieces, "key string, i bigint, t string, joined boolean, data binary, decoded string")
+            .mapInArrow(encode_pieces, "key string, i bigint, joined boolean, data binary, decoded string")
             .groupBy("key").applyInArrow(put_together, f"key string, {cols}"))
     far = far.select("row", "key").join(done, "key").drop("key")
     return near.unionByName(far).select("row.*", *[F.col(x.split()[0]) for x in cols.split(", ")])

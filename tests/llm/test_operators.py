@@ -189,6 +189,34 @@ def test_bpe_tree_joins_exactly(monkeypatch):
         assert c.encode(s)[0] == array("I", want).tobytes()
 
 
+def test_bpe_joins_pieces_over_tasks(spark, monkeypatch):
+    """Runs without a space, with special tokens at every place of a cut, from pieces encoded apart."""
+    from tokenizers import Tokenizer
+    lib = Tokenizer.from_file(vocabulary())
+    monkeypatch.setattr(bpe, "PIECE", 50)
+    special = "<|endoftext|>"
+    texts = ["thesone" * 8 + "x" * k + special + "inthe" * 30 + " a b " + "q" * (40 + k) for k in range(16)]
+    texts += ["line\nend." * 40, "é" * 333, "\t" * 120 + "a" * 90 + "\n" * 70, special * 20, "한ᄒ" * 60]
+    got = {r.doc_id: r for r in bpe.encoded(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"),
+                                            vocabulary()).collect()}
+    for i, t in enumerate(texts):
+        ids = lib.encode(t, add_special_tokens=False).ids
+        assert list(got[i].ids) == ids, i
+        assert got[i].decoded_sha256 == hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_bpe_encodes_a_run_once(monkeypatch):
+    """Joins look at windows only: a run of 2 MB is not encoded again."""
+    c, seen = bpe.Codec(vocabulary()), []
+    run = "".join(f"{k * 7919 % 1000003:x}" for k in range(400_000))
+    parts = [(lo, c.table(run[lo:lo + bpe.PIECE])) for lo in range(0, len(run), bpe.PIECE)]
+    table = bpe.Codec.triples
+    monkeypatch.setattr(bpe.Codec, "triples", lambda self, t: seen.append(len(t)) or table(self, t))
+    monkeypatch.setattr(bpe.Codec, "table", lambda self, t: seen.append(len(t)) or None)
+    assert c.joined(run, parts, len(run))[:, 0].tolist() == c.lib.encode(run, add_special_tokens=False).ids
+    assert sum(seen) < len(run) // 20
+
+
 def test_pii(spark, sf, docs, edge, edge_rows, nothing):
     def base(t):
         s = plain.base_spans(t)
