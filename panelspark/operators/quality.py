@@ -167,10 +167,15 @@ def other_missing(classified: DataFrame) -> DataFrame:
 
 
 def category_scope_counts(classified: DataFrame) -> DataFrame:
-    """Counts by category and scope, with totals from a rollup."""
-    return (classified.rollup("category", "scope").agg(F.count("*").alias("n"))
+    """Counts by category and scope, with totals from a rollup.
+
+    Spark's rollup of no rows is empty, so one row is joined on the left: a panel without
+    gaps keeps its grand total of 0.
+    """
+    counts = classified.rollup("category", "scope").agg(F.count("*").alias("n"))
+    return (classified.sparkSession.range(1).join(counts, F.lit(True), "left")
             .select(F.coalesce("category", F.lit("ALL")).alias("category"),
-                    F.coalesce("scope", F.lit("ALL")).alias("scope"), "n"))
+                    F.coalesce("scope", F.lit("ALL")).alias("scope"), F.coalesce("n", F.lit(0)).alias("n")))
 
 
 def drop_rare_labels(df: DataFrame, label: str, min_share: float) -> DataFrame:

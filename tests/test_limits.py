@@ -178,3 +178,16 @@ def test_partner_means_equal_pairs_in_pandas(spark):
         z = z.drop(columns="alone") if same else z
         check(X.implied_corr_z(df, n=40, within_class=same), "f9_ewma_implied_corr_z", z)
     assert X.implied_corr_z(df.limit(0)).count() == 0 and X.pair_corr_mean(df.limit(0)).count() == 0
+
+
+def no_gaps(spark):
+    return spark.createDataFrame([], "date date, category string, scope string")
+
+
+def test_scope_counts_of_a_panel_without_gaps(spark):
+    """A rollup of no rows still has its grand total, as in SQL."""
+    from panelspark.operators.quality import category_scope_counts
+    assert [tuple(r) for r in category_scope_counts(no_gaps(spark)).collect()] == [("ALL", "ALL", 0)]
+    some = spark.createDataFrame([("glitch", "mixed"), ("glitch", "global")], "category string, scope string")
+    assert {tuple(r) for r in category_scope_counts(some).collect()} == {
+        ("ALL", "ALL", 2), ("glitch", "ALL", 2), ("glitch", "mixed", 1), ("glitch", "global", 1)}
