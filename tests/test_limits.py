@@ -191,3 +191,12 @@ def test_scope_counts_of_a_panel_without_gaps(spark):
     some = spark.createDataFrame([("glitch", "mixed"), ("glitch", "global")], "category string, scope string")
     assert {tuple(r) for r in category_scope_counts(some).collect()} == {
         ("ALL", "ALL", 2), ("glitch", "ALL", 2), ("glitch", "mixed", 1), ("glitch", "global", 1)}
+
+
+def test_diagnostic_tables_of_a_panel_without_gaps(spark, tmp_path):
+    """The stored scope counts have their line of the grand total, the other tables are empty."""
+    from panelspark.operators import quality as Q
+    from panelspark.sources import sinks as S
+    tables = {"classified": no_gaps(spark), "scope_counts": Q.category_scope_counts(no_gaps(spark))}
+    S.write_tables(tables, str(tmp_path))
+    assert [tuple(r) for r in S.read_tables(spark, tables, str(tmp_path)).collect()] == [("scope_counts", "ALL|0|ALL")]
