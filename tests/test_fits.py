@@ -169,3 +169,19 @@ def test_bundle_is_frozen_and_lookbacks_hold(spark, sf, tmp_path):
     have = [f for f in catalog.FEATURES.values() if f.name in merged.columns and f.lookback and f.lookback > 0]
     first = w.agg(*[F.min(F.when(F.col(f.name).isNotNull(), F.col("pos"))).alias(f.name) for f in have]).first()
     assert not [(f.name, f.lookback, first[f.name]) for f in have if first[f.name] is not None and first[f.name] < f.lookback]
+
+
+def test_a_column_constant_where_another_is_present_has_no_correlation(spark):
+    """It varies elsewhere, so its mean over all rows is not its value there."""
+    rng = np.random.default_rng(6)
+    n, sizes = 20_000, [25.0, 3.3, 7.7, 0.1, 1234.56, 19.9]
+    names = ["x", "late", "far"] + [f"size{k}" for k in range(len(sizes))]
+    x = rng.normal(0, 1, n)
+    rows = [(float(a), float(a) ** 2 if i >= 50 else None, 1e6 + float(a) * 1e-6, *[v if i >= 50 else float(i % 7) for v in sizes])
+            for i, a in enumerate(x)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in names)).repartition(7)
+    got = {(r.a, r.b): (r["corr"], r.n_pairs) for r in gram.correlation(df, names).collect()}
+    for k in range(len(sizes)):
+        assert got["late", f"size{k}"] == (None, n - 50)
+        assert got["x", f"size{k}"][0] is not None and got["x", f"size{k}"][1] == n
+    assert got["x", "far"][0] == pytest.approx(1.0, abs=1e-6)
