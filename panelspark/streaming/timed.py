@@ -3,8 +3,11 @@
 A key's rows wait in RocksDB state until the watermark passes their time; an event-time
 timer then folds those that are closed, in time order, into a small state of the key. So
 triggers may deliver rows out of order by up to the lateness bound, and the result is the
-batch result on all rows that came within it. What waits is kept as one Arrow chunk per
-key and trigger: state grows with the lateness bound and not with the stream's length.
+batch result on all rows that came within it. What waits is kept as Arrow chunks per key and
+quarter day, written whenever ``HOLD`` rows of a trigger have come, and folded as many
+quarters at a time as make ``HOLD`` rows: state grows with the lateness bound and not with the
+stream's length, and a worker holds about ``HOLD`` rows and those of one key's quarter day,
+however many a trigger brings.
 
 Rows at or before the watermark are late and dropped; rows after the last watermark wait.
 """
@@ -18,6 +21,8 @@ from pyspark.sql.streaming import StatefulProcessor
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 MS = 1000       # microseconds
+QUARTER = 6 * 3_600_000_000
+HOLD = 200_000  # rows
 
 
 def packed(rows: pd.DataFrame) -> bytes:
@@ -43,38 +48,65 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", "lo bigint, rows binary")
+        self.held = handle.getMapState("held", "quarter bigint, lo bigint, part bigint", "rows binary")
         self.state = handle.getValueState("folded", self.schema)
 
-    def wait(self, chunks) -> None:
-        """Keeps the chunks, the whole list anew, and asks to be called at the first of their times."""
-        if chunks:
-            self.held.put([(first_ms(c), packed(c)) for c in chunks])
-            self.handle.registerTimer(min(map(first_ms, chunks)))
-        else:
-            self.held.clear()
+    def hold(self, rows: pd.DataFrame, part: int) -> None:
+        """Keeps rows by quarter day; the key tells the first watermark that closes one of them."""
+        rows = rows.sort_values("us", ignore_index=True)
+        quarters = rows["us"] // QUARTER
+        starts = [0, *(quarters.index[quarters.ne(quarters.shift())][1:]), len(rows)]
+        for a, b in zip(starts, starts[1:]):
+            piece = rows.iloc[a:b]
+            self.held.updateValue((int(quarters.iloc[a]), first_ms(piece), part), (packed(piece),))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows), ignore_index=True)
-        pdf = pdf[pdf["us"] > timerValues.getCurrentWatermarkInMs() * MS]
-        if len(pdf):
-            self.held.appendValue((first_ms(pdf), packed(pdf)))
-            self.handle.registerTimer(first_ms(pdf))
+        mark, part = timerValues.getCurrentWatermarkInMs() * MS, max((k[2] for k in self.held.keys()), default=0)
+        waiting, n, first = [], 0, None
+        for pdf in rows:
+            pdf = pdf[pdf["us"] > mark]
+            if not len(pdf):
+                continue
+            first = first_ms(pdf) if first is None else min(first, first_ms(pdf))
+            waiting.append(pdf)
+            n += len(pdf)
+            if n >= HOLD:
+                part += 1
+                self.hold(pd.concat(waiting, ignore_index=True), part)
+                waiting, n = [], 0
+        if n:
+            self.hold(pd.concat(waiting, ignore_index=True), part + 1)
+        if first is not None:
+            self.handle.registerTimer(first)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
-        held = list(self.held.get()) if self.held.exists() else []
-        if not any(lo <= mark for lo, _ in held):
+        keys = sorted(tuple(k) for k in self.held.keys())
+        due, rest = [k for k in keys if k[1] <= mark], [k[1] for k in keys if k[1] > mark]
+        if not due:
             return      # another timer of this key was here before
-        chunks = [unpacked(rows) for _, rows in held]
-        closed = [c[c["us"] <= mark * MS] for c in chunks]
-        self.wait([r for r in (c[c["us"] > mark * MS] for c in chunks) if len(r)])
-        pdf = pd.concat(closed, ignore_index=True).sort_values(self.order, ignore_index=True)
-        state, out = self.step(self.state.get() if self.state.exists() else None, pdf)
+        state = self.state.get() if self.state.exists() else None
+        closed, n = [], 0
+        for i, k in enumerate(due, 1):
+            chunk = unpacked(self.held.getValue(k)[0])
+            self.held.removeKey(k)
+            now = chunk["us"] <= mark * MS
+            if not now.all():
+                self.hold(chunk[~now], k[2])
+                rest.append(first_ms(chunk[~now]))
+            closed.append(chunk[now])
+            n += len(closed[-1])
+            last = i == len(due)
+            if last or n >= HOLD and due[i][0] != k[0]:
+                pdf = pd.concat(closed, ignore_index=True).sort_values(self.order, ignore_index=True)
+                closed, n = [], 0
+                state, out = self.step(state, pdf)
+                if len(out):
+                    yield out
         self.state.update(state)
-        if len(out):
-            yield out
+        if rest:
+            self.handle.registerTimer(min(rest))
 
     def close(self) -> None:
         pass

@@ -126,3 +126,64 @@ def test_levels_of_the_same_run_are_seen(spark, tmp_path):
         want.append((r.event_id, None if last is None else last.available.to_pydatetime(),
                      None if last is None or pd.isna(last.level) else last.level))
     assert sorted((r.event_id, r.available, r.level) for r in got) == sorted(want)
+
+
+class Kept(dict):
+    """Map, list and value state of one key in plain Python."""
+
+    keep = None
+    updateValue, getValue, removeKey = dict.__setitem__, dict.__getitem__, dict.__delitem__
+
+    def appendValue(self, value):
+        self.keep = (self.keep or []) + [value]
+
+    def put(self, values):
+        self.keep = values
+
+    def exists(self):
+        return self.keep is not None or bool(len(self))
+
+    def get(self):
+        return self.keep
+
+    def update(self, value):
+        self.keep = value
+
+
+class Handle:
+    def __init__(self):
+        self.timers = []
+
+    getMapState = getListState = getValueState = lambda self, *schema: Kept()
+
+    def registerTimer(self, ms):
+        self.timers.append(ms)
+
+
+class Mark:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = lambda: ms
+
+
+def test_one_trigger_with_all_rows_of_a_key_is_folded_in_parts(monkeypatch):
+    """However many rows a trigger brings, a fold takes about HOLD of them, all in order of time."""
+    monkeypatch.setattr(timed, "HOLD", 100, raising=False)
+    rng, n, sizes = np.random.default_rng(2), 5_000, []
+    us = rng.integers(1, 20 * 24 * 3_600_000_000, n)
+    rows = pd.DataFrame({"us": us, "v": np.arange(n)})
+
+    def step(state, part):
+        sizes.append(len(part))
+        return ((state or (0,))[0] + len(part),), part
+
+    p = timed.InOrder(step, "n long")
+    handle = Handle()
+    p.init(handle)
+    assert list(p.handleInputRows(None, iter([rows[i:i + 64] for i in range(0, n, 64)]), Mark(0))) == []
+    marks, got = [int(np.sort(us)[k] // timed.MS) for k in (1_234, n - 20)], []
+    for ms in marks:
+        got += list(p.handleExpiredTimer(None, Mark(ms), None))
+        assert handle.timers[-1] > ms
+    out, want = pd.concat(got, ignore_index=True), rows[us <= marks[1] * timed.MS].sort_values("us", ignore_index=True)
+    pd.testing.assert_frame_equal(out, want)
+    assert p.state.get() == (len(want),) and max(sizes) < 300
