@@ -56,6 +56,7 @@ HOT = 10_000            # a shingle that more documents hold is kept out of sing
 SHARED = 10             # first shingles that a candidate pair must share
 PIVOTS = 6              # pivots of a list, and partners that a set tests in a round
 EASY = 8                # pairs across classes for each entry that are looked at without pivots
+NEAR = 2                # rounds of near pivots at most, where the common ones leave more than that
 WORDS = 8               # longs of parity bits of a set
 BITS = [f"b{i}" for i in range(WORDS)]
 KEY_BITS = 64           # bits of a set's first key
@@ -338,14 +339,20 @@ def classes(rows: DataFrame) -> DataFrame:
     lists = cut(shared_lists(listed(rows, counts, limit, taken)))
     links = cut(light_links(subsets(sets, limit))) if limit else None
     labels = components(links) if links is not None else None
-    before = float("inf")
+    before, near = float("inf"), 0
     while True:
         at, entries, across = meeting(lists, labels)
         if not across:
             break
-        # pivots go on while they at least halve what is left
-        last, before = across <= EASY * entries or 2 * across > before, across
-        pairs = cut(cross_pairs(at, sets) if last else pivot_pairs(at))
+        # pivots go on while they at least halve what is left, then near ones are tried
+        easy, stuck, before = across <= EASY * entries, bool(near) or 2 * across > before, across
+        last = easy or near == NEAR
+        if last:
+            pairs = cut(cross_pairs(at, sets))
+        elif stuck:
+            pairs, near = cut(near_pairs(at, sets, 1 + 2 * near)), near + 1
+        else:
+            pairs = cut(pivot_pairs(at))
         asked = cut(pairs.select(F.col("u").alias("key")).union(pairs.select("v")).distinct())
         found = cut(tested(pairs, cut(read_sets(rows, sets, asked, taken))))
         if not found.isEmpty():
@@ -398,19 +405,39 @@ def met(pairs: DataFrame) -> DataFrame:
             .filter(F.col("c") >= needed(F.col("n"), F.col("m"))).select("u", "v", "c"))
 
 
-def pivot_pairs(at: DataFrame) -> DataFrame:
-    """(u, v): every set with the pivots of other classes that it meets most."""
+def near_pairs(at: DataFrame, sets: DataFrame, turn: int) -> DataFrame:
+    """(u, v): every set with the pivots that it meets most among entries with some of its parity bits.
+
+    A family of near copies has its sets about equally far from each other, so that the few pivots
+    of a list mostly miss those that an outlying set is linked to. Sets that agree in a whole band
+    of 64 parity bits are likely near; a list is parted by each of 2 * ``WORDS`` bands (the longs,
+    and halves of two of them, ``turn`` apart) and every part has its own pivots.
+    """
+    bits = sets.select("key", *BITS).dropDuplicates(["key"])
+    low = (1 << 32) - 1
+    own = [F.col(b) for b in BITS] if turn == 1 else [
+        F.col(b).bitwiseAND(low).bitwiseOR(F.col(BITS[(i + turn - 1) % WORDS]).bitwiseAND(~low)) for i, b in enumerate(BITS)]
+    mixed = [F.col(b).bitwiseAND(low).bitwiseOR(F.col(BITS[(i + turn) % WORDS]).bitwiseAND(~low)) for i, b in enumerate(BITS)]
+    bands = F.array(*[F.xxhash64(F.lit(i), b) for i, b in enumerate(own + mixed)])
+    bits = bits.select("key", bands.alias("bands"))
+    at = at.join(bits.hint("merge"), "key").withColumn("band", F.explode("bands")).drop("bands")
+    return pivot_pairs(at, "x", "band")
+
+
+def pivot_pairs(at: DataFrame, *by: str) -> DataFrame:
+    """(u, v): every set with the pivots of other classes that it meets most, in lists or in parts of them."""
     from pyspark.sql import Window
 
     def pivot(i):
         return F.min(F.when(F.col("most") >= F.col("n"), F.struct(
             F.xxhash64("key", F.lit(i)).alias("r"), "key", "n", "most", "comp")))
 
+    by = list(by or ["x"])
     names = [f"q{i}" for i in range(PIVOTS)]
-    w = Window.partitionBy("x")         # at most HOT entries
+    w = Window.partitionBy(*by)         # at most HOT entries
     cold = at.filter("not hot").withColumns({q: pivot(i).over(w) for i, q in enumerate(names)})
     hot = at.filter("hot")
-    hot = hot.join(hot.groupBy("x").agg(*[pivot(i).alias(q) for i, q in enumerate(names)]).hint("merge"), "x")
+    hot = hot.join(hot.groupBy(*by).agg(*[pivot(i).alias(q) for i, q in enumerate(names)]).hint("merge"), by)
     own = F.filter(F.array_distinct(F.array(*names)), lambda q: (q["comp"] != F.col("comp")) & (q["n"] <= F.col("most"))
                    & (F.col("n") <= q["most"]))
     d = cold.unionByName(hot).select("key", "n", F.transform(own, lambda q: F.struct(
