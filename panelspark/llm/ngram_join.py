@@ -56,8 +56,9 @@ HOT = 10_000            # a shingle that more documents hold is kept out of sing
 SHARED = 10             # first shingles that a candidate pair must share
 PIVOTS = 6              # pivots of a list, and partners that a set tests in a round
 EASY = 8                # pairs across classes for each entry that are looked at without pivots
-NEAR = 2                # rounds of near pivots at most, where the common ones leave more than that
 WORDS = 8               # longs of parity bits of a set
+NEAR = 2                # rounds of near pivots at most
+HARD = 2 * WORDS * PIVOTS   # pairs across classes for each entry from which they cost more than near pivots
 BITS = [f"b{i}" for i in range(WORDS)]
 KEY_BITS = 64           # bits of a set's first key
 
@@ -344,9 +345,9 @@ def classes(rows: DataFrame) -> DataFrame:
         at, entries, across = meeting(lists, labels)
         if not across:
             break
-        # pivots go on while they at least halve what is left, then near ones are tried
-        easy, stuck, before = across <= EASY * entries, bool(near) or 2 * across > before, across
-        last = easy or near == NEAR
+        # pivots go on while they at least halve what is left, then near ones while pairs cost more
+        stuck, before = bool(near) or 2 * across > before, across
+        last = across <= EASY * entries or stuck and (near == NEAR or across <= HARD * entries)
         if last:
             pairs = cut(cross_pairs(at, sets))
         elif stuck:
