@@ -115,6 +115,21 @@ def test_ngram_passages_without_links_leave_no_pairs(spark, monkeypatch):
     assert made and sum(d.count() for d in made) == 0       # lists meet, no pair is left
 
 
+@pytest.mark.parametrize("hard", [0, ngram_join.HARD])
+def test_ngram_near_pivots_change_no_result_and_run_where_pairs_cost_more(spark, monkeypatch, hard):
+    """Few pairs of classes that pivots cannot part go to the last join at once."""
+    turns = []
+    near = ngram_join.near_pairs
+    monkeypatch.setattr(ngram_join, "near_pairs", lambda *a: turns.append(a[-1]) or near(*a))
+    monkeypatch.setattr(ngram_join, "EASY", 0)
+    monkeypatch.setattr(ngram_join, "HARD", hard)
+    rows = list(enumerate(family(120, 2)))
+    got = rows_of(ngram_join.linked(spark.createDataFrame(rows, "doc_id bigint, text string")),
+                  "doc_id", "n_shingles", "component_id")
+    assert got == sorted(plain.jaccard_classes(rows), key=str)
+    assert turns == ([] if hard else [1, 3])
+
+
 def test_boundary_follows_cost():
     sizes = {n: 100 for n in range(1, 30)}
     low, high = ngram_join.boundary(sizes, 0.0), ngram_join.boundary(sizes, 500.0)
