@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from panelspark.llm import bpe, dedup, mixing, ngram_join, quality
 from panelspark.llm.queries import vocabulary
 from panelspark.sources.readers import table
-from panelspark.sources.store import shared_dir
+from panelspark.sources.store import scratch, shared_dir
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +48,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         path = f"{root}/{k}-{name}"
-        # zstd: texts in shuffled order are most of the disk of a stage
-        stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(path)
+        # what a stage cuts is of no use once its rows are written
+        with scratch(spark):
+            # zstd: texts in shuffled order are most of the disk of a stage
+            stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(path)
         docs = spark.read.parquet(path)
     return docs

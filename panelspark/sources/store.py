@@ -9,11 +9,15 @@ survives the loss of executors; it also cuts the lineage of all later queries.
 import hashlib
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 from .bars import add_signal, bars
 
+_SCRATCH = ContextVar("scratch", default=None)
+
 
 def shared_dir(spark: SparkSession):
     """Configured checkpoint folder; a temporary one only in local mode."""
@@ -38,7 +42,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     estimates double their digits each round and the driver soon only plans.
     """
     spark = df.sparkSession
-    root = shared_dir(spark)
+    root = _SCRATCH.get() or shared_dir(spark)
     if root is None:
         raise RuntimeError("set spark.checkpoint.dir to a shared folder")
     path = f"{root}/cut-{uuid.uuid4().hex}"
@@ -46,6 +50,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """Frames cut inside the block share a folder, which is deleted when the block ends.
+
+    For a block whose last step writes its result: no frame of the block may be read later.
+    """
+    path = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+    token = _SCRATCH.set(path)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(token)
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def state_of(spark: SparkSession, sf_dir: str) -> str:
     """Names, sizes and times of the files that bars are built from.
 

@@ -274,3 +274,30 @@ def test_pipeline_stage_by_stage(spark, sf, tmp_path):
     lib = Tokenizer.from_file(vocabulary())
     want = Counter((r["doc_id"], tuple(lib.encode(r["text"] or "", add_special_tokens=False).ids)) for r in a)
     assert Counter((r["doc_id"], tuple(r["ids"])) for r in b) == want
+
+
+def test_pipeline_leaves_the_stages_and_no_frames_they_cut(spark, sf, tmp_path, monkeypatch):
+    import corpus_pipeline as cp
+    from panelspark.llm.text import cut
+    from panelspark.sources import store
+
+    def halved(spark, docs, sf_dir):
+        return cut(cut(docs).filter("doc_id % 2 = 0"))
+
+    monkeypatch.setattr(store, "shared_dir", lambda spark: str(tmp_path))
+    monkeypatch.setattr(cp, "shared_dir", lambda spark: str(tmp_path))
+    monkeypatch.setattr(cp, "STAGES", [("first", halved), ("second", halved)])
+    got = sorted(r.doc_id for r in cp.run(spark, sf).select("doc_id").collect())
+    ids = [r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect()]
+    assert got == sorted(i for i in ids if i % 2 == 0)
+    [root] = tmp_path.iterdir()     # neither frames nor their folders
+    assert sorted(p.name for p in root.iterdir()) == ["0-first", "1-second"]
+
+    def fails(spark, docs, sf_dir):
+        cut(docs)
+        raise ValueError("stage")
+
+    monkeypatch.setattr(cp, "STAGES", [("fails", fails)])
+    with pytest.raises(ValueError, match="stage"):
+        cp.run(spark, sf)
+    assert list(tmp_path.iterdir()) == [root]       # also of a stage that fails
