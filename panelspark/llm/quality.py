@@ -127,5 +127,6 @@ def filtered(docs: DataFrame, labels: DataFrame, alpha=ALPHA, delta=DELTA) -> Da
     """The documents that are kept, with all their columns."""
     d = packed(docs).select("row", F.col("row.doc_id").alias("doc_id"), F.col("row.lang").alias("stratum"),
                             whole(F.col("row.text")).alias("t"))
-    m = cut(measures(d))        # with the rows: writing them costs less than measuring twice
+    # with the rows that may stay: writing them costs less than measuring twice
+    m = cut(measures(d).withColumn("row", F.when(~F.col("base_failed"), F.col("row"))))
     return verdicts(m, cutoffs(m.drop("row"), labels, alpha, delta)).filter("kept").select("row.*")

@@ -46,7 +46,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if root is None:
         raise RuntimeError("set spark.checkpoint.dir to a shared folder")
     path = f"{root}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)    # texts take two thirds of their size with snappy
     return spark.read.schema(df.schema).parquet(path)
 
 
