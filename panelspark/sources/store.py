@@ -14,7 +14,7 @@ from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .bars import add_signal, bars
+from .bars import add_signal, bars, instruments
 
 _SCRATCH = ContextVar("scratch", default=None)
 
@@ -84,6 +84,16 @@ def build_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return add_signal(bars(spark, sf_dir))
 
 
+def bucket_count(spark: SparkSession, sf_dir: str) -> int:
+    """No more buckets than instruments: a bucketed scan keeps a task for every bucket.
+
+    Shuffle partitions are set for the ticks. Adaptive execution joins small ones, but not
+    the buckets of a table, so each family would run as many, mostly empty, tasks.
+    """
+    keys = instruments(spark, sf_dir).count()
+    return max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), keys))
+
+
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars with the signal column ``s``, read from the bucketed table."""
     name = "panelspark_panel_" + hashlib.sha256(
@@ -92,7 +102,7 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         root = shared_dir(spark)
         if root is None:
             return build_panel(spark, sf_dir)
-        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        buckets = bucket_count(spark, sf_dir)
         (build_panel(spark, sf_dir).repartition(buckets, "instrument").write
          .mode("overwrite").option("path", f"{root}/{name}").format("parquet")
          .bucketBy(buckets, "instrument").sortBy("instrument", "date").saveAsTable(name))

@@ -200,3 +200,23 @@ def test_diagnostic_tables_of_a_panel_without_gaps(spark, tmp_path):
     tables = {"classified": no_gaps(spark), "scope_counts": Q.category_scope_counts(no_gaps(spark))}
     S.write_tables(tables, str(tmp_path))
     assert [tuple(r) for r in S.read_tables(spark, tables, str(tmp_path)).collect()] == [("scope_counts", "ALL|0|ALL")]
+
+
+def test_panel_has_no_more_buckets_than_instruments(spark, sf, tmp_path):
+    """Shuffle partitions are set for ticks; a bucketed scan would keep a task for each of them."""
+    import shutil
+
+    from panelspark.operators import price
+    from panelspark.sources.store import panel
+    for name in ("lineitem", "supplier", "nation", "region"):
+        shutil.copy(f"{sf}/{name}.parquet", tmp_path)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "300")
+    try:
+        p, keys = panel(spark, str(tmp_path)), B.instruments(spark, str(tmp_path)).count()
+        family = price.price_action(p)
+        assert family.rdd.getNumPartitions() <= keys
+        assert "Exchange" not in family._jdf.queryExecution().executedPlan().toString()
+        assert family.count() == B.bars(spark, str(tmp_path)).count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
